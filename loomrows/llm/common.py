@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,26 +40,26 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+_written: dict[str, SparkSession] = {}
+
+
 class Kept:
     """A frame written to the shared folder and read again, which cuts lineage
-    and survives lost executors. The files go with ``drop`` or with the frame."""
+    and survives lost executors. ``drop`` deletes it as soon as nothing reads
+    it; tables that a returned frame reads go when the interpreter ends."""
 
-    def __init__(self, df: DataFrame, partition_by: list[str] | None = None):
+    def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/loomrows-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(self.path)
+        if not _written:
+            atexit.register(lambda: [_delete(s, p) for p, s in _written.items()])
+        _written[self.path] = spark
+        df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        self._end = weakref.finalize(self, _delete, spark, self.path)
 
     def drop(self) -> None:
-        self._end()
-
-
-def holding(df: DataFrame, *kept: Kept) -> DataFrame:
-    """df, which keeps the tables it reads alive as long as it lives itself."""
-    df._loomrows_kept = [*getattr(df, "_loomrows_kept", []), *kept]
-    return df
+        if spark := _written.pop(self.path, None):
+            _delete(spark, self.path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .chat import chat_digests
-from .common import read
+from .common import Kept, read
+from .mixing import mix_plan, sized, taken
+from .quality import STATS, judged
 from .token_counts import token_counts
 
 
@@ -19,6 +21,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = Kept(sized(read(spark, sf_dir, "documents")).select("doc_id", "source", "size"))
+    return taken(sizes.df, mix_plan(sizes.df))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -34,5 +41,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *STATS, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chat_format, op5_token_counts, op9_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op3_chat_format, op5_token_counts, op9_bpe, op10_quality_rules)}
