@@ -11,6 +11,7 @@ from .bpe import bpe_digests
 from .chat import chat_digests
 from .common import Kept, read
 from .mixing import mix_plan, sized, taken
+from .neardup import near_duplicates
 from .quality import STATS, judged
 from .token_counts import token_counts
 
@@ -21,6 +22,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = Kept(sized(read(spark, sf_dir, "documents")).select("doc_id", "source", "size"))
     return taken(sizes.df, mix_plan(sizes.df))
@@ -47,4 +52,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_chat_format, op5_token_counts, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_mixing, op3_chat_format, op5_token_counts, op9_bpe, op10_quality_rules)}
