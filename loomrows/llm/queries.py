@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .chat import chat_digests
 from .common import Kept, read
+from .lm_score import lm_scores
 from .mixing import mix_plan, sized, taken
 from .neardup import near_duplicates
 from .quality import STATS, judged
+from .secret_scan import findings
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -38,10 +41,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.unionByName(extra))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -52,4 +67,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_mixing, op3_chat_format, op5_token_counts, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_mixing, op3_chat_format, op4_lm_score, op5_token_counts, op6_toxicity, op8_secrets, op9_bpe, op10_quality_rules)}
