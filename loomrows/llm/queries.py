@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .chat import chat_digests
 from .common import Kept, read
+from .hnsw import nearest
 from .lm_score import lm_scores
 from .mixing import mix_plan, sized, taken
 from .neardup import near_duplicates
@@ -53,6 +54,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(read(spark, sf_dir, "documents"))
 
@@ -67,4 +72,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_mixing, op3_chat_format, op4_lm_score, op5_token_counts, op6_toxicity, op8_secrets, op9_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_minhash, op2_mixing, op3_chat_format, op4_lm_score, op5_token_counts, op6_toxicity, op7_hnsw, op8_secrets, op9_bpe, op10_quality_rules)}
