@@ -168,6 +168,17 @@ def draw_hypergeometric(total: Column, good: Column, draws: Column, u: Column) -
     return let(mode, draw)
 
 
+def _splitter(level: int, seed: int):
+    """One source's draw at a node: (state, its blocks) to the next state."""
+
+    def step(a: Column, x: Column) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), F.size(a["left"])), F.lit(1 << 40)) / float(1 << 40)
+        got = draw_hypergeometric(a["total"], x, a["draws"], u)
+        return let(got, lambda g: F.struct(F.concat(a["left"], F.array(g)).alias("left"), (a["total"] - x).alias("total"), (a["draws"] - g).alias("draws")))
+
+    return step
+
+
 def splitting_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     """(source, shard, quota): the blocks of each source dealt to 2^depth
     shards. quotas has source and n, its number of blocks, below some thousands."""
@@ -176,12 +187,7 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame
     for level in range(depth):
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
         start = F.struct(F.expr("cast(array() as array<bigint>)").alias("left"), total.alias("total"), F.floor(total / 2).cast("long").alias("draws"))
-        u = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), i), F.lit(1 << 40)) / float(1 << 40)
-
-        def step(a: Column, x: Column, u=u) -> Column:
-            got = draw_hypergeometric(a["total"], x, a["draws"], u(F.size(a["left"])))
-            return let(got, lambda g: F.struct(F.concat(a["left"], F.array(g)).alias("left"), (a["total"] - x).alias("total"), (a["draws"] - g).alias("draws")))
-
+        step = _splitter(level, seed)
         nodes = nodes.withColumn("left", F.aggregate("counts", start, step)["left"])
         right = F.zip_with("counts", "left", lambda c, x: c - x)
         child = F.explode(F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("counts"))))
