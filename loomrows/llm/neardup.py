@@ -13,14 +13,17 @@ linked with nothing. Documents are linked when 100 * intersection >= 80 * union.
    that one on, so a bucket gets a row per batch, however many nodes it has.
    The result is a tree of edges (key, node, pivot) for each bucket. A pair at
    0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1e-7.
-4. Each node's edge to its smallest pivot is checked: signatures that agree in
-   too few places (five and a half standard deviations below 0.8) go, the rest
-   is confirmed on full sets. A pivot's members are dealt in salted parts.
+4. Each node is checked against the pivot that it shares most buckets with:
+   pairs whose signatures agree in too few places (five and a half standard
+   deviations below 0.8) go, the rest is confirmed on full sets. A pivot's
+   members are dealt in salted parts.
 5. Components by alternating large-star and small-star steps.
-6. The other tree edges are checked where their ends are still apart. Then, in
-   every bucket that still has several components, all members outside its
-   largest component are checked against all others. So every pair that shares
-   a bucket has been checked or connected, and no bucket emits all its pairs.
+6. Nodes still apart from a pivot are checked against the one of these that they
+   share most buckets with, and components are formed anew. At last, components
+   that still meet in a bucket in two nodes whose signatures allow it are
+   compared on full sets: each node of the smaller with all nodes of the larger,
+   in blocks, of which only links come out. So every pair that shares a bucket has been checked or connected,
+   and no bucket emits the pairs of its nodes.
 
 Intermediate tables go to the shared folder. Null texts count as empty. Rows
 with one doc_id are one node per distinct set; a null doc_id keeps its own row
@@ -45,6 +48,8 @@ HASHES = BANDS * ROWS
 AGREE = 0.8 - 5.5 * (0.8 * 0.2 / HASHES) ** 0.5
 #: Members of a pivot that are compared in one salted part.
 PART = 2048
+#: Members of a bucket that are held at once when components meet in it.
+HELD = 16_384
 #: Word hashes that a worker keeps, and words hashed at a time for minima.
 CACHE = 300_000
 BLOCK = 4096
@@ -172,103 +177,223 @@ def _trees(sent: DataFrame) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, pivot long")
 
 
-def _roles(pairs: DataFrame) -> DataFrame:
-    """(id, pivot, part, own): who is compared where. Members of a pivot are
-    dealt in parts of about PART, and the pivot goes to each."""
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    members = pairs.join(parts, "pivot").select(F.col("node").alias("id"), "pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("own"))
-    pivots = parts.select(F.col("pivot").alias("id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
-    return members.unionByName(pivots)
+def _near_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and signatures allow a link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            share = (_matrix(batch.column(4)) == _matrix(batch.column(5))).mean(axis=1)
+            near = (share >= AGREE) & (100 * np.minimum(na, nb) >= 80 * np.maximum(na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], ["node", "pivot"])
 
-def _compared(rows: DataFrame, alike) -> DataFrame:
-    """Pairs (node, pivot) of rows (pivot, part, own, id, n, data) for which
-    alike(data of pivot, n, data of node, n) holds."""
+    a = nodes.select(F.col("rep").alias("node"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    b = nodes.select(F.col("rep").alias("pivot"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    return pairs.join(a, "node").join(b, "pivot").select("node", "pivot", "na", "nb", "sa", "sb").mapInArrow(run, "node long, pivot long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data, size = None, None, 0
+
+def _linked(roles: DataFrame, docs: DataFrame, width: int) -> Kept:
+    """Links (node, pivot) found on full sets. roles: (grp, part, own, id); the
+    members of a part that are not own are compared with all that are. Of
+    several links of a member in a part the first is given, which suffices
+    where the own ones are already connected."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t, width).tobytes() for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], ["grp", "part", "own", "id", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held, block = None, [], [], None
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             node, pivot = [], []
-            for p, part, own, i, n, x in zip(*cols, strict=True):
+            for grp, part, own, i, x in zip(*cols, strict=True):
+                if (grp, part) != now:
+                    now, ids, held, block = (grp, part), [], [], None
+                x = np.frombuffer(x, np.uint64)
                 if own:
-                    if now != (p, part):
-                        now, data, size = (p, part), x, n
-                elif now == (p, part) and alike(data, size, x, n):
-                    node.append(i)
-                    pivot.append(p)
+                    ids.append(i)
+                    held.append(x)
+                elif ids and len(x):
+                    if block is None:
+                        size = np.array(list(map(len, held)))
+                        block = np.concatenate(held), np.cumsum(size) - size, size
+                    flat, start, size = block
+                    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+                    both = np.add.reduceat((x[at] == flat).astype(np.int64), start)
+                    hit = np.flatnonzero(100 * both >= 80 * (size + len(x) - both))
+                    if len(hit):
+                        node.append(i)
+                        pivot.append(ids[hit[0]])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(pivot, pa.int64())], ["node", "pivot"])
 
-    dealt = rows.select("pivot", "part", "own", "id", "n", "data").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("own").desc(), "id")
-    return dealt.mapInArrow(run, "node long, pivot long")
-
-
-def _near_signature(a: bytes, na: int, b: bytes, nb: int) -> bool:
-    if 100 * min(na, nb) < 80 * max(na, nb):
-        return False
-    return bool((np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum() >= AGREE * HASHES)
-
+    rows = docs.join(roles.hint("merge"), docs["doc_id"] == roles["id"]).select("grp", "part", "own", "id", "text")
+    rows = rows.mapInArrow(sets, "grp long, part int, own boolean, id long, data binary")
+    rows = rows.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("own").desc(), "id")
+    return Kept(rows.mapInArrow(compare, "node long, pivot long"))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> Kept:
+    """The pairs (node, pivot), a node at most once, that are linked: checked
+    on signatures, then on full sets. The members of a pivot are dealt in
+    salted parts, and the pivot goes to each of them."""
+    near = Kept(_near_signatures(pairs, nodes))
+    parts = near.df.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    members = near.df.join(parts, "pivot").select(F.col("pivot").alias("grp"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("own"), F.col("node").alias("id"))
+    pivots = parts.select(F.col("pivot").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"), F.col("pivot").alias("id"))
+    out = _linked(members.unionByName(pivots), docs, width)
+    near.drop()
+    return out
 
-def _near_set(a: bytes, na: int, b: bytes, nb: int) -> bool:
-    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-    return 100 * both >= 80 * (na + nb - both)
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One large-star or small-star step over edges (u, v) that lie together by
+    u in order of v. Large: both directions of each edge; u joins its greater
+    neighbours to the least of all. Small: v < u; u joins itself and its other
+    neighbours to the least."""
 
-def _with_sets(docs: DataFrame, roles: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_u = last_v = least = None
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["pivot", "part", "own", "id", "n", "data"])
-
-    rows = docs.join(roles, docs["doc_id"] == roles["id"]).select("pivot", "part", "own", "id", "text")
-    return rows.mapInArrow(run, "pivot long, part int, own boolean, id long, n long, data binary")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> Kept:
-    """The pairs (node, pivot) that are linked."""
-    roles = _roles(pairs)
-    sigs = roles.join(nodes, roles["id"] == nodes["rep"]).select("pivot", "part", "own", "id", "n", F.col("sig").alias("data"))
-    near = Kept(_compared(sigs, _near_signature).distinct())
-    linked = Kept(_compared(_with_sets(docs, _roles(near.df), width), _near_set).distinct())
-    near.drop()
-    return linked
+            u, v = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if not len(u):
+                continue
+            new = np.concatenate([[u[0] != last_u], u[1:] != u[:-1]])
+            twice = ~new & np.concatenate([[v[0] == last_v], v[1:] == v[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
+            first = np.where(at >= 0, v[np.maximum(at, 0)], v[0] if least is None else least)
+            last_u, last_v, least = u[-1], v[-1], first[-1]
+            if large:
+                m = np.minimum(u, first)
+                go = (v > u) & (v != m) & ~twice
+                a, b = v[go], m[go]
+            else:
+                go = ~new & ~twice & (v != first)
+                a, b = np.concatenate([v[go], u[new]]), np.concatenate([first[go], first[new]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+    return edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> Kept:
     """(node, component) for every node of edges (node, pivot); component is
     the smallest node reachable. Alternating large-star and small-star."""
-    step = Kept(edges.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).where("u <> v").distinct())
-    state = None
+    step, state = Kept(edges.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).where("u <> v")), None
     while True:
-        both = step.df.unionByName(step.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = Kept(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        step.drop()
-        least = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.df.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = Kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        large.drop()
+        large = _star(step.df.unionByName(step.df.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
+        before, step = step, Kept(_star(large, False))
+        before.drop()
         now = step.df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).collect()[0]
         if now == state:
             break
         state = now
-    roots = step.df.select(F.col("v").alias("u"), "v").distinct()
-    out = Kept(step.df.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component")))
+    out = Kept(step.df.select(F.col("u").alias("node"), F.col("v").alias("component")))
     step.drop()
     return out
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """pairs with the components cn and cp of their ends, where these differ."""
+def _with_components(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """edges (node, pivot, ...) with the components cn and cp of their ends.
+    A component's smallest node isn't in comp and stands for itself."""
     cn = comp.select(F.col("node").alias("_n"), F.col("component").alias("_cn"))
     cp = comp.select(F.col("node").alias("_p"), F.col("component").alias("_cp"))
-    out = pairs.join(cn, F.col("node") == F.col("_n"), "left").join(cp, F.col("pivot") == F.col("_p"), "left")
-    out = out.withColumns({"cn": F.coalesce("_cn", "node"), "cp": F.coalesce("_cp", "pivot")}).drop("_n", "_cn", "_p", "_cp")
-    return out.where("cn <> cp")
+    out = edges.join(cn, F.col("node") == F.col("_n"), "left").join(cp, F.col("pivot") == F.col("_p"), "left")
+    return out.withColumns({"cn": F.coalesce("_cn", "node"), "cp": F.coalesce("_cp", "pivot")}).drop("_n", "_cn", "_p", "_cp")
+
+
+def _best(edges: DataFrame) -> DataFrame:
+    """Of each node the pivot that it shares most buckets with."""
+    by = edges.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    return by.groupBy("node").agg(F.max_by("pivot", F.struct(F.col("k"), -F.col("pivot"))).alias("pivot"))
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """(c, d): components that meet in a bucket in two nodes whose sketches
+    allow a link. members: (key, node, component, n, sketch). Members of a
+    bucket are held in blocks of HELD, every two of which meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def pairs() -> pa.RecordBatch | None:
+            if not rows:
+                return None
+            own, comp, n = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            sketch = np.concatenate([r[3] for r in rows])
+            left, right = np.flatnonzero(own == now[1]), np.flatnonzero(own == now[2])
+            met = set()
+            for start in range(0, len(left), 64):
+                i = left[start : start + 64]
+                may = (comp[i, None] != comp[right]) & (100 * np.minimum(n[i, None], n[right]) >= 80 * np.maximum(n[i, None], n[right]))
+                x, y = np.nonzero(may)
+                for cut in range(0, len(x), 20_000):
+                    p, q = i[x[cut : cut + 20_000]], right[y[cut : cut + 20_000]]
+                    near = (sketch[p] == sketch[q]).mean(axis=1) >= AGREE
+                    c, d = comp[p[near]], comp[q[near]]
+                    met.update(zip(np.minimum(c, d).tolist(), np.maximum(c, d).tolist(), strict=True))
+            if not met:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in met], pa.int64()), pa.array([d for _, d in met], pa.int64())], ["c", "d"])
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, low, high, own, comp, n = (np.asarray(batch.column(k)) for k in range(6))
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+            for at in np.split(np.arange(len(key)), cuts):
+                here = key[at[0]], low[at[0]], high[at[0]]
+                if here != now:
+                    if (out := pairs()) is not None:
+                        yield out
+                    now, rows = here, []
+                rows.append((own[at], comp[at], n[at], sketch[at]))
+        if (out := pairs()) is not None:
+            yield out
+
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    rows = members.join(sizes.where("c0 <> c1").select("key", "blocks"), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own", "component", "n", "sketch")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "c long, d long").distinct()
+
+
+def _sketches(nodes: DataFrame) -> DataFrame:
+    """rep, n and one byte of each minimum."""
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low = (_matrix(batch.column(2)) & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r.tobytes() for r in low], pa.binary())], ["rep", "n", "sketch"])
+
+    return nodes.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, sketch binary")
+
+
+def _between_components(edges: DataFrame, comp: DataFrame, nodes: DataFrame) -> Kept:
+    """(grp, part, own, id): for every two components that meet in a bucket,
+    the smaller one's nodes to be compared with all of the larger one's, whose
+    nodes are dealt in parts."""
+    met = _with_components(edges, comp).select("key", "node", "pivot", F.col("cn"), F.col("cp"))
+    open_keys = met.groupBy("key").agg(F.max((F.col("cn") != F.col("cp")).cast("int")).alias("open")).where("open = 1").select("key")
+    met = met.join(open_keys, "key", "left_semi")
+    met = met.select("key", "node", F.col("cn").alias("component")).unionByName(met.select("key", F.col("pivot").alias("node"), F.col("cp").alias("component"))).distinct()
+    sketches = _sketches(nodes)
+    pairs = Kept(_meetings(met.join(sketches, met["node"] == sketches["rep"]).select("key", "node", "component", "n", "sketch")))
+    sizes = comp.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
+    sized = pairs.df.join(sizes.select(F.col("component").alias("c"), F.col("size").alias("sc")), "c", "left").join(sizes.select(F.col("component").alias("d"), F.col("size").alias("sd")), "d", "left")
+    sized = sized.select("c", "d", F.coalesce("sc", F.lit(1)).alias("sc"), F.coalesce("sd", F.lit(1)).alias("sd"))
+    larger = F.col("sc") >= F.col("sd")
+    pairs = Kept(sized.select(F.when(larger, F.col("c")).otherwise(F.col("d")).alias("own"), F.when(larger, F.col("d")).otherwise(F.col("c")).alias("other"), F.greatest("sc", "sd").alias("size")))
+    members = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    own = pairs.df.select(F.col("own").alias("grp"), "size").distinct().join(members, F.col("grp") == F.col("component"), "left")
+    own = own.select("grp", F.coalesce("node", "grp").alias("id"), parts.alias("parts")).select("grp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("own"), "id")
+    other = pairs.df.join(members, F.col("other") == F.col("component"), "left").select(F.col("own").alias("grp"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("own"), F.coalesce("node", "other").alias("id"))
+    return Kept(own.unionByName(other))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
@@ -288,31 +413,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> Data
     between = _trees(bands.where("pivot IS NULL").select("key", "node"))
     trees = Kept(inside.unionByName(between))
 
-    first = Kept(trees.df.groupBy("node").agg(F.min("pivot").alias("pivot")))
-    links = verified(first.df, nodes.df, docs, width)
+    # from here on only texts of documents that share a bucket are read; the
+    # merge hints deal texts in one way at every size
+    shared = trees.df.select(F.col("node").alias("_id")).unionByName(trees.df.select(F.col("pivot").alias("_id"))).distinct()
+    near = Kept(docs.join(shared.hint("merge"), docs["doc_id"] == shared["_id"], "left_semi"))
+    docs = near.df
+
+    links = _confirmed(_best(trees.df), nodes.df, docs, width)
     comp = components(links.df)
 
-    checked = first.df
-    second = Kept(_ordered(_apart(trees.df, comp.df)).join(checked, ["node", "pivot"], "left_anti"))
-    if not second.df.isEmpty():
-        more = verified(second.df, nodes.df, docs, width)
-        links = Kept(links.df.unionByName(more.df))
-        comp = components(links.df)
-        checked = checked.unionByName(second.df)
-
-    open_keys = Kept(_apart(trees.df, comp.df).select("key").distinct())
-    if not open_keys.df.isEmpty():
-        there = trees.df.join(open_keys.df, "key", "left_semi")
-        members = there.select("key", "node").unionByName(there.select("key", F.col("pivot").alias("node"))).distinct()
-        members = Kept(members.join(comp.df, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        sizes = members.df.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-        others = members.df.join(main, "key").where("component <> main").select("key", "node", F.col("component").alias("c"))
-        pairs = others.join(members.df.select("key", F.col("node").alias("pivot"), "component"), "key").where("c <> component")
-        third = Kept(_ordered(pairs).join(checked, ["node", "pivot"], "left_anti"))
-        if not third.df.isEmpty():
-            more = verified(third.df, nodes.df, docs, width)
-            comp = components(links.df.unionByName(more.df))
+    second = Kept(_best(_with_components(trees.df, comp.df).where("cn <> cp")))
+    more = _confirmed(second.df, nodes.df, docs, width)
+    comp, before = components(comp.df.withColumnRenamed("component", "pivot").unionByName(more.df)), comp
+    before.drop()
+
+    rest = _linked(_between_components(trees.df, comp.df, nodes.df).df, docs, width)
+    comp, before = components(comp.df.withColumnRenamed("component", "pivot").unionByName(rest.df)), comp
+    before.drop()
 
     found = classes.df.join(comp.df.withColumnRenamed("node", "rep"), "rep", "left")
     found = Kept(found.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("component", "rep").alias("component")))
