@@ -44,6 +44,8 @@ SHORT, CLASSES, HIDDEN = 2000, 48, 32
 FREQUENT = 200_000
 TRAIN_DOCS = 3000
 LANES, STEPS, EPOCHS, RATE = 128, 16, 2, 0.004
+#: Steps of gradient descent; a small sample is gone through more often.
+LEAST_UPDATES = 400
 WINDOW = 32
 GROUP = 256
 END = ""
@@ -206,8 +208,10 @@ class Network:
         m = {a: np.zeros_like(b) for a, b in p.items()}
         v = {a: np.zeros_like(b) for a, b in p.items()}
         lanes, length = stream.shape
-        updates = EPOCHS * ((length - 1) // STEPS)
-        for _ in range(EPOCHS):
+        each = max(1, (length - 1) // STEPS)
+        epochs = max(EPOCHS, -(-LEAST_UPDATES // each))
+        updates = epochs * each
+        for _ in range(epochs):
             h = np.zeros((lanes, k), np.float32)
             for start in range(0, length - 1 - STEPS, STEPS):
                 x = stream[:, start : start + STEPS]

@@ -11,10 +11,13 @@ times, and once more by a permuted draw that fills the rest. Documents are
 dealt to blocks by a hash (the permutation); whole blocks are drawn until one
 would exceed the rest, that block is split again by further bits of the hash,
 and so on until a block holds about ``LEAF`` documents. Of these, the largest
-that still fit are taken greedily. So no source is sorted or collected, each
-level reads a 256th of the one before, and a plan is one short row per source.
+that still fit are taken greedily, and where a large document keeps that short,
+a few smaller ones from other blocks fill the rest. So no source is sorted or
+collected, each level reads a 256th of the one before, and a plan is one short
+row per source.
 
-Shards: the drawn blocks of all sources are dealt to 2^depth output shards by a
+Shards: each copy of a source is cut in blocks of like size by another hash. The
+blocks of all sources are dealt to 2^depth output shards by a
 multivariate-hypergeometric splitting tree. Each node holds the number of
 blocks of each source; its left child gets a draw of half of them, source by
 source (inverse transform from hashed uniforms), the right child the rest, so
@@ -28,6 +31,8 @@ everything hangs on hashes of doc_id and ``seed``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +42,10 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 LEAF = 64
 FAN_OUT = 256
+#: Documents of each size class that may fill what the leaf leaves.
+SPARE = 4
+#: Words of a shard, blocks that a shard gets on average, and the deepest tree.
+SHARD, BLOCKS, MOST_DEPTH = 1 << 21, 64, 16
 #: Levels of blocks; four reach 64 * 256^4 documents of one source.
 LEVELS = 4
 SEED = 20_011
@@ -96,20 +105,38 @@ def mix_plan(sizes: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIG
         cut = sums.where("upto > need").groupBy("source").agg(F.min_by(F.struct((F.col("upto") - F.col("words")).alias("before"), F.col("b").alias("b")), "b").alias("cut"))
         cut = cut.select(F.col("source").alias("_source"), F.col("cut.b").alias("_b"), F.col("cut.before").alias("_before"))
         on = step.df.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left")
-        nxt = on.withColumns({f"cut{level}": F.coalesce("_b", F.col(f"blocks{level}")), "need": F.when(F.col("_b").isNull(), 0.0).otherwise(F.col("need") - F.col("_before"))}).drop("_source", "_b", "_before")
+        # where nothing is left to fill, no block of this level is drawn
+        cut_at = F.when(F.col("need") > 0, F.coalesce("_b", F.col(f"blocks{level}"))).otherwise(0)
+        nxt = on.withColumns({f"cut{level}": cut_at, "need": F.when(F.col("_b").isNull(), 0.0).otherwise(F.col("need") - F.col("_before"))}).drop("_source", "_b", "_before")
         done, step = step, Kept(nxt)
         done.drop()
     inside = _inside(sizes, step.df, levels, seed)
-    units = inside.where("doc_id IS NOT NULL").groupBy("source", "doc_id").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    lists = units.groupBy("source").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("words", "doc_id")), asc=False).alias("units"))
-    none = F.struct(F.col("need").alias("left"), F.expr("cast(array() as array<bigint>)").alias("picks"))
-    take = lambda a, x: F.when((x["words"] > 0) & (x["words"] <= a["left"]), F.struct((a["left"] - x["words"]).alias("left"), F.concat(a["picks"], F.array(x["doc_id"].cast("long"))).alias("picks"))).otherwise(a)
-    picks = lists.select(F.col("source").alias("_source"), F.aggregate("units", none, take)["picks"].alias("picks"))
-    out = Kept(step.df.join(picks, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source", "need"))
+    filled = _fill(step.df, inside.where("size > 0 AND doc_id IS NOT NULL").groupBy("source", "doc_id").agg(F.sum("size").alias("words")))
     step.drop()
+    # A document larger than what is left ends the draw early in a leaf: of each
+    # size class up to SPARE others fill that, whichever blocks they are in.
+    spare = with_plan(sizes, filled.df).where("need > 0 AND size > 0 AND size <= need AND doc_id IS NOT NULL").where(~drawn(filled.df, seed))
+    place = F.xxhash64(F.lit(seed + 1), F.col("doc_id"))
+    spare = spare.groupBy("source", F.floor(F.log2("size")).alias("class"), F.pmod(place, F.lit(SPARE)).alias("part")).agg(F.min_by("doc_id", place).alias("doc_id"))
+    spare = spare.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"))
+    spare = sizes.join(spare, F.col("source").eqNullSafe(F.col("_source")) & (F.col("doc_id") == F.col("_doc_id"))).groupBy("source", "doc_id").agg(F.sum("size").alias("words"))
+    out = _fill(filled.df, spare)
+    filled.drop()
     return out
 
 
+def _fill(plan: DataFrame, units: DataFrame) -> Kept:
+    """The plan with units (source, doc_id, words; few per source) added to its
+    ``picks``, the largest that still fit first, and ``need`` less by these."""
+    lists = units.groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(F.struct("words", "doc_id")), asc=False).alias("units"))
+    before = F.col("picks") if "picks" in plan.columns else F.expr("cast(array() as array<bigint>)")
+    on = plan.withColumn("_picks", before).drop("picks").join(lists, F.col("source").eqNullSafe(F.col("_source")), "left")
+    none = F.struct(F.col("need").alias("left"), F.col("_picks").alias("picks"))
+    take = lambda a, x: F.when(x["words"] <= a["left"], F.struct((a["left"] - x["words"]).alias("left"), F.concat(a["picks"], F.array(x["doc_id"].cast("long"))).alias("picks"))).otherwise(a)
+    on = on.withColumn("_got", F.coalesce(F.aggregate("units", none, take), none))
+    return Kept(on.withColumns({"need": F.col("_got")["left"], "picks": F.col("_got")["picks"]}).drop("_source", "units", "_got", "_picks"))
+
+
 def _inside(sizes: DataFrame, plan: DataFrame, levels: int, seed: int) -> DataFrame:
     """Documents inside the blocks that are split at each of the levels."""
     rows = with_plan(sizes, plan).where("need > 0")
@@ -127,11 +154,12 @@ def with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 def drawn(plan: DataFrame, seed: int = SEED) -> Column:
     """Whether a document is drawn once more."""
     levels = sum(c.startswith("cut") for c in plan.columns)
-    last = F.coalesce(F.array_contains("picks", F.col("doc_id").cast("long")), F.lit(False))
+    picked = F.coalesce(F.array_contains("picks", F.col("doc_id").cast("long")), F.lit(False))
+    last = F.lit(False)
     for level in reversed(range(levels)):
         b = block(level, seed)
         last = F.when(b < F.col(f"cut{level}"), True).when(b == F.col(f"cut{level}"), last).otherwise(False)
-    return last
+    return last | picked
 
 
 def taken(sizes: DataFrame, plan: Kept, seed: int = SEED) -> DataFrame:
@@ -146,6 +174,10 @@ def draw_hypergeometric(total: Column, good: Column, draws: Column, u: Column) -
     transform of the uniform u, terms by their ratios outward from the mode."""
     low, high = F.greatest(F.lit(0), draws - (total - good)), F.least(good, draws)
     mode = F.least(F.greatest(F.floor((good + 1) * (draws + 1) / (total + 2)).cast("long"), low), high)
+    # twelve standard deviations and more from the mode nothing is left to draw
+    share = good / F.greatest(total, F.lit(1))
+    far = F.ceil(12 * F.sqrt(draws * share * (1 - share)) + 40).cast("long")
+    low, high = F.greatest(low, mode - far), F.least(high, mode + far)
 
     def ratio(k: Column) -> Column:
         return (good - k) * (draws - k) / ((k + 1) * (total - good - draws + k + 1))
@@ -196,28 +228,40 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame
     return nodes.select("shard", pairs.alias("p")).select("p.source", "shard", "p.quota")
 
 
-def mix(docs: DataFrame, depth: int = 4, seed: int = SEED, text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, depth: int | None = None, seed: int = SEED, text: str = "text") -> DataFrame:
     """The mixed rows: documents repeated as often as they are taken, with
-    ``shard``. Blocks are level-0 blocks of a copy. Rows come as the shards
-    have them, in a hashed order within each."""
+    ``shard`` (unless docs have a column of that name). Rows come as the shards have them, in a hashed order within each.
+
+    Args:
+        depth: the shards are 2^depth; by default of about SHARD words each.
+    """
     columns = docs.columns
     sizes = Kept(sized(docs, text).select("doc_id", "source", "size"))
     plan = mix_plan(sizes.df, seed)
-    blocks = plan.df.select("source", F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("copy"), "copies", "blocks0", "cut0")
-    drawn_blocks = F.when(F.col("copy") < F.col("copies"), F.col("blocks0")).otherwise(F.least(F.col("cut0") + 1, F.col("blocks0")))
-    blocks = blocks.select("source", "copy", F.explode(F.sequence(F.lit(0), drawn_blocks - 1)).alias("b"))
+    words = plan.df.agg(F.sum("target").alias("words")).collect()[0].words or 0.0
+    if depth is None:
+        depth = min(MOST_DEPTH, max(2, math.ceil(math.log2(max(1.0, words / SHARD)))))
+    # each whole copy of a source and what is drawn once more is cut in blocks
+    each = max(1.0, words / (BLOCKS << depth))
+    copy_words = F.when(F.col("copy") < F.col("copies"), F.col("source_size").cast("double")).otherwise(F.col("target") - F.col("copies") * F.col("source_size"))
+    blocks_of = lambda size: F.greatest(F.lit(1), F.ceil(size / each)).cast("int")
+    blocks = plan.df.select("source", "copies", "source_size", "target", F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("copy"))
+    blocks = blocks.select("source", "copy", F.explode(F.sequence(F.lit(0), blocks_of(copy_words) - 1)).alias("b"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "copy", "b"), "copy", "b")
     blocks = blocks.withColumn("place", F.row_number().over(order))
     tree = splitting_tree(blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n")), depth, seed)
     upto = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
-    tree = tree.withColumn("to", upto).withColumn("from", F.col("to") - F.col("quota")).select(F.col("source").alias("_s"), "from", "to", "shard")
-    where = blocks.join(tree, F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") > F.col("from")) & (F.col("place") <= F.col("to")))
+    tree = tree.withColumn("to", upto).where("quota > 0").select(F.col("source").alias("_s"), "shard", F.explode(F.sequence(F.col("to") - F.col("quota") + 1, "to")).alias("_place"))
+    where = blocks.join(tree, F.col("source").eqNullSafe(F.col("_s")) & (F.col("place") == F.col("_place")))
     shards = Kept(where.select(F.col("source").alias("_s"), F.col("copy").alias("_copy"), F.col("b").alias("_b"), "shard"))
-    rows = with_plan(sized(docs, text), plan.df).where("size > 0")
+    # the row as one value, so that no column of docs meets one of the plan
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), "doc_id", "source", F.col(text).alias("_text"))
+    rows = with_plan(sized(rows, "_text").drop("_text"), plan.df).where("size > 0")
     times = F.col("copies") + drawn(plan.df, seed).cast("int")
-    rows = rows.withColumn("_all", F.col("copies")).withColumn("_times", times).where("_times > 0")
-    # copies are numbered from 0; the one drawn by blocks has the number of whole copies
-    rows = rows.select(*columns, block(0, seed).alias("b0"), F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("copy"))
-    rows = rows.join(shards.df, F.col("source").eqNullSafe(F.col("_s")) & (F.col("copy") == F.col("_copy")) & (F.col("b0") == F.col("_b")))
-    rows = rows.select(*columns, "copy", "shard").repartition(1 << depth, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
-    return rows.select(*columns, "shard")
+    # copies are numbered from 0; the one that is drawn has the number of whole copies
+    rows = rows.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    b = F.floor(F.pmod(F.xxhash64(F.lit(seed), F.lit(1), F.col("doc_id"), F.col("copy")), F.lit(1 << 30)) * blocks_of(copy_words) / (1 << 30)).cast("int")
+    rows = rows.select("_row", "doc_id", "source", "copy", b.alias("_block"))
+    rows = rows.join(shards.df, F.col("source").eqNullSafe(F.col("_s")) & (F.col("copy") == F.col("_copy")) & (F.col("_block") == F.col("_b")))
+    rows = rows.select("_row", "doc_id", "copy", "shard").repartition(1 << depth, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+    return rows.select(*(F.col("_row")[c].alias(c) for c in columns), *(["shard"] if "shard" not in columns else []))
