@@ -19,10 +19,11 @@ linked with nothing. Documents are linked when 100 * intersection >= 80 * union.
    members are dealt in salted parts.
 5. Components by alternating large-star and small-star steps.
 6. Nodes still apart from a pivot are checked against the one of these that they
-   share most buckets with, and components are formed anew. At last, components
-   that still meet in a bucket in two nodes whose signatures allow it are
-   compared on full sets: each node of the smaller with all nodes of the larger,
-   in blocks, of which only links come out. So every pair that shares a bucket has been checked or connected,
+   share most buckets with, and components are formed anew. At last, nodes of
+   different components whose sketches allow a link and that meet in a bucket
+   are gathered in clusters, by a spanning forest of each bucket, and the nodes
+   of a cluster are compared on full sets in blocks, out of which only links
+   come. So every pair that shares a bucket has been checked or connected,
    and no bucket emits the pairs of its nodes.
 
 Intermediate tables go to the shared folder. Null texts count as empty. Rows
@@ -33,6 +34,7 @@ component_id is the doc_id itself. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,9 @@ AGREE = 0.8 - 5.5 * (0.8 * 0.2 / HASHES) ** 0.5
 #: Members of a pivot that are compared in one salted part.
 PART = 2048
 #: Members of a bucket that are held at once when components meet in it.
-HELD = 16_384
+HELD = 1024
+#: Shingles of a block of a cluster, two of which are held at once.
+BLOCK_HASHES = 1 << 19
 #: Word hashes that a worker keeps, and words hashed at a time for minima.
 CACHE = 300_000
 BLOCK = 4096
@@ -310,21 +314,34 @@ def _best(edges: DataFrame) -> DataFrame:
     return by.groupBy("node").agg(F.max_by("pivot", F.struct(F.col("k"), -F.col("pivot"))).alias("pivot"))
 
 
-def _meetings(members: DataFrame) -> DataFrame:
-    """(c, d): components that meet in a bucket in two nodes whose sketches
-    allow a link. members: (key, node, component, n, sketch). Members of a
-    bucket are held in blocks of HELD, every two of which meet in one task."""
+def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest place reachable from each of n places by edges (p, q)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, p, before[q])
+        np.minimum.at(root, q, before[p])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _forest(members: DataFrame) -> DataFrame:
+    """(node, pivot): a spanning forest, bucket by bucket, of the pairs in
+    different components whose sketches allow a link. members: (key, node,
+    component, n, sketch). Members of a bucket are held in blocks of HELD,
+    every two of which meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
-        def pairs() -> pa.RecordBatch | None:
+        def edges() -> pa.RecordBatch | None:
             if not rows:
                 return None
-            own, comp, n = (np.concatenate([r[k] for r in rows]) for k in range(3))
-            sketch = np.concatenate([r[3] for r in rows])
+            own, comp, n, node = (np.concatenate([r[k] for r in rows]) for k in range(4))
+            sketch = np.concatenate([r[4] for r in rows])
             left, right = np.flatnonzero(own == now[1]), np.flatnonzero(own == now[2])
-            met = set()
+            ps, qs = [], []
             for start in range(0, len(left), 64):
                 i = left[start : start + 64]
                 may = (comp[i, None] != comp[right]) & (100 * np.minimum(n[i, None], n[right]) >= 80 * np.maximum(n[i, None], n[right]))
@@ -332,33 +349,40 @@ def _meetings(members: DataFrame) -> DataFrame:
                 for cut in range(0, len(x), 20_000):
                     p, q = i[x[cut : cut + 20_000]], right[y[cut : cut + 20_000]]
                     near = (sketch[p] == sketch[q]).mean(axis=1) >= AGREE
-                    c, d = comp[p[near]], comp[q[near]]
-                    met.update(zip(np.minimum(c, d).tolist(), np.maximum(c, d).tolist(), strict=True))
-            if not met:
+                    ps.append(p[near]), qs.append(q[near])
+            if not ps:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in met], pa.int64()), pa.array([d for _, d in met], pa.int64())], ["c", "d"])
+            root = _roots(len(node), np.concatenate(ps), np.concatenate(qs))
+            at = np.flatnonzero(root != np.arange(len(node)))
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["node", "pivot"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, low, high, own, comp, n = (np.asarray(batch.column(k)) for k in range(6))
-            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)
+            key, low, high, own, comp, n, node = (np.asarray(batch.column(k)) for k in range(7))
+            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, HASHES)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
             for at in np.split(np.arange(len(key)), cuts):
                 here = key[at[0]], low[at[0]], high[at[0]]
                 if here != now:
-                    if (out := pairs()) is not None:
+                    if (out := edges()) is not None:
                         yield out
                     now, rows = here, []
-                rows.append((own[at], comp[at], n[at], sketch[at]))
-        if (out := pairs()) is not None:
+                rows.append((own[at], comp[at], n[at], node[at], sketch[at]))
+        if (out := edges()) is not None:
             yield out
 
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     rows = members.join(sizes.where("c0 <> c1").select("key", "blocks"), "key")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own", "component", "n", "sketch")
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "c long, d long").distinct()
+    rows = _block_pairs(rows).select("key", "low", "high", "own", "component", "n", "node", "sketch")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "node long, pivot long").distinct()
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """rows (node, blocks, ...) with own, their block, and once for each pair
+    (low, high) of blocks that it is in."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"low": F.least("own", "_j"), "high": F.greatest("own", "_j")}).drop("_j", "blocks")
 
 
 def _sketches(nodes: DataFrame) -> DataFrame:
@@ -373,27 +397,83 @@ def _sketches(nodes: DataFrame) -> DataFrame:
     return nodes.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, sketch binary")
 
 
-def _between_components(edges: DataFrame, comp: DataFrame, nodes: DataFrame) -> Kept:
-    """(grp, part, own, id): for every two components that meet in a bucket,
-    the smaller one's nodes to be compared with all of the larger one's, whose
-    nodes are dealt in parts."""
+def _clusters(edges: DataFrame, comp: DataFrame, nodes: DataFrame) -> Kept:
+    """(node, component, n, sketch, cluster) of the nodes that meet others of
+    another component in a bucket with a sketch that allows a link; such nodes
+    are in one cluster."""
     met = _with_components(edges, comp).select("key", "node", "pivot", F.col("cn"), F.col("cp"))
     open_keys = met.groupBy("key").agg(F.max((F.col("cn") != F.col("cp")).cast("int")).alias("open")).where("open = 1").select("key")
     met = met.join(open_keys, "key", "left_semi")
     met = met.select("key", "node", F.col("cn").alias("component")).unionByName(met.select("key", F.col("pivot").alias("node"), F.col("cp").alias("component"))).distinct()
     sketches = _sketches(nodes)
-    pairs = Kept(_meetings(met.join(sketches, met["node"] == sketches["rep"]).select("key", "node", "component", "n", "sketch")))
-    sizes = comp.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
-    sized = pairs.df.join(sizes.select(F.col("component").alias("c"), F.col("size").alias("sc")), "c", "left").join(sizes.select(F.col("component").alias("d"), F.col("size").alias("sd")), "d", "left")
-    sized = sized.select("c", "d", F.coalesce("sc", F.lit(1)).alias("sc"), F.coalesce("sd", F.lit(1)).alias("sd"))
-    larger = F.col("sc") >= F.col("sd")
-    pairs = Kept(sized.select(F.when(larger, F.col("c")).otherwise(F.col("d")).alias("own"), F.when(larger, F.col("d")).otherwise(F.col("c")).alias("other"), F.greatest("sc", "sd").alias("size")))
-    members = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    own = pairs.df.select(F.col("own").alias("grp"), "size").distinct().join(members, F.col("grp") == F.col("component"), "left")
-    own = own.select("grp", F.coalesce("node", "grp").alias("id"), parts.alias("parts")).select("grp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("own"), "id")
-    other = pairs.df.join(members, F.col("other") == F.col("component"), "left").select(F.col("own").alias("grp"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("own"), F.coalesce("node", "other").alias("id"))
-    return Kept(own.unionByName(other))
+    members = Kept(met.join(sketches, met["node"] == sketches["rep"]).select("key", "node", "component", "n", "sketch"))
+    found = components(_forest(members.df))
+    named = found.df.select("node", F.col("component").alias("cluster")).unionByName(found.df.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
+    out = Kept(members.df.drop("key").dropDuplicates(["node"]).join(named, "node"))
+    members.drop(), found.drop()
+    return out
+
+
+def _inside_clusters(clusters: DataFrame, docs: DataFrame, width: int) -> Kept:
+    """Links (node, pivot) between components, found on full sets by comparing
+    the nodes of a cluster in blocks; of many links between the same components
+    of a block one is given. Sets of linked documents are at most a quarter
+    apart in size, so nodes of a size class only meet those of the class and of
+    the next one; these make a cell."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def links() -> pa.RecordBatch | None:
+            own, even, node = (np.array([r[k] for r in rows]) for k in range(3))
+            comp = np.unique([r[3] for r in rows], return_inverse=True)[1]
+            sketch = np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(-1, HASHES)
+            held = [np.frombuffer(r[5], np.uint64) for r in rows]
+            n = np.array(list(map(len, held)))
+            right = np.flatnonzero(own == now[3])
+            ps, qs = [], []
+            for i in np.flatnonzero(own == now[2]):
+                j = right if now[2] != now[3] else right[right > i]
+                j = j[(comp[j] != comp[i]) & (even[j] | even[i]) & (100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i]))]
+                j = j[(sketch[j] == sketch[i]).mean(axis=1) >= AGREE] if len(j) else j
+                for cut in range(0, len(j), 256):
+                    part = j[cut : cut + 256]
+                    part = part[comp[part] != comp[i]]
+                    if not len(part):
+                        continue
+                    flat = np.concatenate([held[k] for k in part])
+                    at = np.minimum(np.searchsorted(held[i], flat), n[i] - 1)
+                    both = np.add.reduceat((held[i][at] == flat).astype(np.int64), np.cumsum(n[part]) - n[part])
+                    for k in part[100 * both >= 80 * (n[part] + n[i] - both)]:
+                        if comp[k] != comp[i]:
+                            comp[comp == comp[k]] = comp[i]
+                            ps.append(node[i]), qs.append(node[k])
+            return pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(qs, pa.int64())], ["node", "pivot"]) if ps else None
+
+        for batch in batches:
+            cluster, cell, low, high, *values = (c.to_pylist() for c in batch.columns)
+            for here, *row in zip(zip(cluster, cell, low, high, strict=True), *values, strict=True):
+                if here != now:
+                    if rows and (out := links()) is not None:
+                        yield out
+                    now, rows = here, []
+                rows.append(row)
+        if rows and (out := links()) is not None:
+            yield out
+
+    size = F.floor(F.log("n") / math.log(1.2500001)).cast("int")
+    cells = clusters.withColumn("size", size).withColumn("cell", F.explode(F.array(F.col("size"), F.col("size") - 1))).withColumn("even", F.col("size") == F.col("cell"))
+    blocks = cells.groupBy("cluster", "cell").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("even").alias("some")).where("c0 <> c1 AND some").select("cluster", "cell", "blocks")
+    roles = _block_pairs(cells.drop("n", "size").join(blocks, ["cluster", "cell"]))
+    near = docs.join(roles.select(F.col("node").alias("_id")).distinct().hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+    data = near.mapInArrow(sets, "id long, data binary")
+    rows = roles.join(data.hint("merge"), F.col("node") == F.col("id")).select("cluster", "cell", "low", "high", "own", "even", "node", "component", "sketch", "data")
+    rows = rows.repartition("cluster", "cell", "low", "high").sortWithinPartitions("cluster", "cell", "low", "high")
+    return Kept(rows.mapInArrow(compare, "node long, pivot long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
@@ -427,7 +507,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> Data
     comp, before = components(comp.df.withColumnRenamed("component", "pivot").unionByName(more.df)), comp
     before.drop()
 
-    rest = _linked(_between_components(trees.df, comp.df, nodes.df).df, docs, width)
+    clusters = _clusters(trees.df, comp.df, nodes.df)
+    rest = _inside_clusters(clusters.df, docs, width)
+    clusters.drop()
     comp, before = components(comp.df.withColumnRenamed("component", "pivot").unionByName(rest.df)), comp
     before.drop()
 
