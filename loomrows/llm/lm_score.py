@@ -41,7 +41,7 @@ from .common import Kept
 
 SHORT, CLASSES, HIDDEN = 2000, 48, 32
 #: Tokens whose counts are broadcast, and texts that the network is trained on.
-FREQUENT = 200_000
+FREQUENT = 50_000
 TRAIN_DOCS = 3000
 LANES, STEPS, EPOCHS, RATE = 128, 16, 2, 0.004
 #: Steps of gradient descent; a small sample is gone through more often.
@@ -101,6 +101,24 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word string, cls int, c long").groupBy("word", "cls").agg(F.sum("c").alias("c"))
 
 
+def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[str, int, int]]:
+    """About ``most`` of the most frequent (word, c, cls), in order. A short
+    histogram of counts finds where to cut, so that no task sends more rows
+    than are wanted; of the words at the cut a hashed share is taken."""
+    level = F.floor(F.log2("c") * 64).cast("int")
+    share, cut, left = 0.0, None, most
+    for r in sorted(counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        share, cut = min(1.0, left / r.k), r.b
+        left -= r.k
+        if left <= 0:
+            break
+    if cut is None:
+        return []
+    own = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = counts.where((level > cut) | ((level == cut) & own)).select("word", "c", "cls").collect()
+    return sorted(map(tuple, found), key=lambda x: (-x[1], x[0]))
+
+
 class Vocabulary:
     """Short-list words with class and place in it, and constants of the rest."""
 
@@ -325,8 +343,7 @@ def lm_scores(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS,
     sums = counts.df.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n_docs = training.count()
     n, v = sums.n + n_docs, sums.v + (n_docs > 0)
-    order = [F.col("c").desc(), F.col("word")]
-    top = [(r.word, r.c, r.cls) for r in counts.df.orderBy(*order).limit(frequent).collect()]
+    top = frequent_tokens(counts.df, frequent)
     short = spark.createDataFrame([(w,) for w, _, _ in top[: SHORT - 1]], "word string")
     rest = counts.df.join(F.broadcast(short), "word", "left_anti").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
     inside = {r.cls: ((r.n1 + 0.5) / (r.n1 + 2 * r.n2 + 1.0), float(r.c), float(r.k)) for r in rest.collect()}
