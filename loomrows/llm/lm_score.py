@@ -315,6 +315,30 @@ class Coder(dict):
         return pairs[:, 0], pairs[:, 1]
 
 
+class Lookup(dict):
+    """Tokens to places in flat arrays of inputs, classes and scores: those
+    whose counts were broadcast first, then a place for each rest class."""
+
+    def __init__(self, vocabulary: Vocabulary, top: list[tuple[str, int, int]]):
+        v, self.known = vocabulary, len(top)
+        self.first = {w.encode(): i for i, (w, _, _) in enumerate(top)}
+        super().__init__(self.first)
+        short = [v.index.get(w.encode(), -1) for w, _, _ in top]
+        self.input = np.array([i if i >= 0 else SHORT + k for i, (_, _, k) in zip(short, top, strict=True)] + [SHORT + k for k in range(REST)], np.int32)
+        self.cls = np.array([v.cls[i] if i >= 0 else CLASSES + k for i, (_, _, k) in zip(short, top, strict=True)] + [CLASSES + k for k in range(REST)], np.int32)
+        self.base = np.array([float(v.base(c)) for _, c, _ in top] + [0.0] * REST)
+        self.inside = np.array([0.0 if i >= 0 else v.inside(c, k) for i, (_, c, k) in zip(short, top, strict=True)] + [0.0] * REST)
+
+    def __missing__(self, word: bytes) -> int:
+        place = self.known + rest_class(word)
+        if len(word) <= 64:
+            if len(self) >= self.known + 300_000:
+                self.clear()
+                self.update(self.first)
+            self[word] = place
+        return place
+
+
 def trained_network(sample: DataFrame, vocabulary: Vocabulary) -> bytes:
     """The pickled network, trained in one task on the texts of sample."""
 
@@ -351,15 +375,14 @@ def lm_scores(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS,
     share = min(1.0, train_docs / max(1, n_docs))
     sample = training.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
     net = trained_network(sample, vocabulary)
-    near = {w.encode(): (float(vocabulary.base(c)), 0.0 if i < SHORT - 1 else vocabulary.inside(c, k)) for i, (w, c, k) in enumerate(top)}
-    sent = spark.sparkContext.broadcast(pickle.dumps((vocabulary, net, near)))
+    sent = spark.sparkContext.broadcast(pickle.dumps((vocabulary, net, top)))
     loaded: dict[int, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not loaded:
             voc, raw, table = pickle.loads(sent.value)
-            loaded[0] = voc, pickle.loads(raw), table, Coder(voc)
-        voc, network, table, coder = loaded[0]
+            loaded[0] = voc, pickle.loads(raw), Lookup(voc, table)
+        voc, network, look = loaded[0]
         end_base = float(voc.base(n_docs))
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
@@ -367,44 +390,30 @@ def lm_scores(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS,
                 coded, rows, tail = [], [], []
                 for uid, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     own = words(t)
-                    coded.append(coder.code(own))
-                    base, extra, known = end_base, 0.0, int(n_docs > 0)
-                    far = []
-                    for w in own:
-                        got = table.get(w)
-                        if got is None:
-                            far.append(w)
-                        else:
-                            base += got[0]
-                            extra += got[1]
-                    known += len(own) - len(far)
-                    rows.append((len(own) + 1, known, base, extra))
-                    tail += [(uid, w.decode(), k) for w, k in Counter(far).items()]
+                    ids = np.fromiter(map(look.__getitem__, own), dtype=np.int32, count=len(own))
+                    coded.append((np.append(look.input[ids], voc.end), np.append(look.cls[ids], voc.cls[voc.end])))
+                    far = Counter([own[j] for j in np.flatnonzero(ids >= look.known)])
+                    rows.append((len(own) + 1, len(own) - far.total() + int(n_docs > 0), end_base + float(look.base[ids].sum()), float(look.inside[ids].sum())))
+                    tail += [(uid, w.decode(), look[w] - look.known, k) for w, k in far.items()]
                 score = network.score(coded, voc.end) / np.log(10) + np.array([r[3] for r in rows])
                 none = len(tail)
                 size = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([batch.column(0), pa.array([x[0] for x in tail], pa.int64())]), pa.concat_arrays([batch.column(1), pa.nulls(none, pa.int64())]), pa.concat_arrays([batch.column(2), pa.nulls(none, pa.bool_())]),
                      pa.array([r[0] for r in rows] + [None] * none, pa.int64()), pa.array([r[1] for r in rows] + [None] * none, pa.int64()), pa.array([r[2] for r in rows] + [None] * none, pa.float64()), pa.array([*score.tolist(), *[None] * none], pa.float64()),
-                     pa.array([None] * size + [x[1] for x in tail], pa.string()), pa.array([None] * size + [x[2] for x in tail], pa.int64())],
-                    ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"])
+                     pa.array([None] * size + [x[1] for x in tail], pa.string()), pa.array([None] * size + [x[2] for x in tail], pa.int32()), pa.array([None] * size + [x[3] for x in tail], pa.int64())],
+                    ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "cls", "times"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
     # written once: the numbers of rows hold for both kinds of rows in it
-    scored = Kept(numbered.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, times long"))
-    unseen = {k: vocabulary.inside(0, k) for k in range(REST)}
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, word, times, c = (x.to_pylist() for x in batch.columns)
-            known = np.array([k if x else 0 for k, x in zip(times, c, strict=True)], dtype=np.int64)
-            count = np.array([x or 0 for x in c], dtype=float)
-            k = np.array(times, dtype=float)
-            inside = np.array([vocabulary.inside(x, rest_class(w.encode())) if x else unseen[rest_class(w.encode())] for w, x in zip(word, c, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), pa.array(k * vocabulary.base(count)), pa.array(k * inside)], ["uid", "known", "base", "inside"])
-
-    far = scored.df.where("word IS NOT NULL").select("uid", "word", "times").join(counts.df.select("word", "c"), "word", "left").select("uid", "word", "times", "c")
-    far = far.mapInArrow(finish, "uid long, known long, base double, inside double").groupBy("uid").agg(*(F.sum(x).alias(x) for x in ("known", "base", "inside")))
-    out = scored.df.where("word IS NULL").drop("word", "times").join(far, "uid", "left")
+    scored = Kept(numbered.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, cls int, times long"))
+    constants = [vocabulary.rest.get(k, (0.5, 0.0, 0.0)) for k in range(REST)]
+    discount, total, kinds = (F.get(F.array(*(F.lit(float(x[j])) for x in constants)), F.col("cls")) for j in range(3))
+    c = F.coalesce(F.col("c"), F.lit(0))
+    own_base = F.log10((c + 0.1) / F.lit(float(n + 0.1 * (v + 1))))
+    inside_class = F.when(total > 0, F.log10(F.when(c > 0, (c - discount) / total).otherwise(discount * kinds / total))).otherwise(0.0)
+    far = scored.df.where("word IS NOT NULL").select("uid", "word", "cls", "times").join(counts.df.select("word", "c"), "word", "left")
+    far = far.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * own_base).alias("base"), F.sum(F.col("times") * inside_class).alias("inside"))
+    out = scored.df.where("word IS NULL").drop("word", "cls", "times").join(far, "uid", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "inside"))
