@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 #: Symbols of a word that is merged in numpy, and words that a worker keeps.
 SHORT = 40
-CACHE = 400_000
+CACHE = 150_000
+#: Rows that are held in decoded form at once.
+ROWS = 256
 #: Missing words that are encoded at once.
 BLOCK = 20_000
 NONE = np.iinfo(np.int32).max
@@ -225,7 +227,7 @@ class WordBpe:
                 missing.update(cut[-1])
             start += len(cut)
             cache = self.cache
-            if len(cache) + len(missing) > CACHE + 100_000:
+            if len(cache) + len(missing) > CACHE + 50_000:
                 cache.clear()
             cache.update(self.learn([c for c in missing if c not in cache]))
             for chunks in cut:
@@ -259,17 +261,23 @@ def bpe_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     return docs.select(F.col(text), *keep).mapInArrow(run, schema)
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of docs with ``token_ids``, the ids of each whole text."""
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", decode: bool = False) -> DataFrame:
+    """All columns of docs with ``token_ids``, the ids of each whole text, and
+    with ``decode`` also ``decoded``, what these ids stand for, in one pass."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.of(path)
-        for batch in batches:
-            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x, _ in bpe.encode_batch(batch.column(batch.schema.get_field_index(text)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "token_ids"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "token_ids array<int>"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                found = [x for x, _ in bpe.encode_batch(batch.column(batch.schema.get_field_index(text)).to_pylist())]
+                offsets = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+                columns = [*batch.columns, ids] + ([pa.array(map(bpe.decode, found), pa.string())] if decode else [])
+                yield pa.RecordBatch.from_arrays(columns, [*names, "token_ids"] + ["decoded"] * decode)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "token_ids array<int>" + ", decoded string" * decode])
     return docs.mapInArrow(run, schema)
 
 
@@ -278,10 +286,12 @@ def bpe_decode(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.of(path)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            texts = [None if x is None else " ".join(bpe.names[x].tolist()) if x else "" for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+                texts = [None if x is None else " ".join(bpe.names[x].tolist()) if x else "" for x in lists]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"])
     return encoded.mapInArrow(run, schema)
