@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrows.llm.bpe import bpe_decode, bpe_encode
+from loomrows.llm.bpe import bpe_encode
 from loomrows.llm.common import Kept, read
 from loomrows.llm.mixing import mix
 from loomrows.llm.neardup import deduplicated
@@ -48,10 +48,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and the length of the text decoded from them."""
-    path = tokenizer("word_bpe_49k.json")
-    encoded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    decoded = bpe_decode(encoded, path)
-    return decoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.char_length("decoded").cast("long").alias("decoded_chars"))
+    encoded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), tokenizer("word_bpe_49k.json"), decode=True)
+    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.char_length("decoded").cast("long").alias("decoded_chars"))
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("secrets", secrets), ("mixing", source_mix), ("bpe", bpe)]
