@@ -46,15 +46,16 @@ _written: dict[str, SparkSession] = {}
 class Kept:
     """A frame written to the shared folder and read again, which cuts lineage
     and survives lost executors. ``drop`` deletes it as soon as nothing reads
-    it; tables that a returned frame reads go when the interpreter ends."""
+    it; tables that a returned frame reads go when the interpreter ends. With
+    ``by``, a column, a reader of one of its values reads only those rows."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, by: str | None = None):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/loomrows-{uuid.uuid4().hex}"
         if not _written:
             atexit.register(lambda: [_delete(s, p) for p, s in _written.items()])
         _written[self.path] = spark
-        df.write.parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

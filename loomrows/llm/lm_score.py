@@ -13,8 +13,10 @@ crc32(doc_id) mod 10 is not 0 are learned from.
    a softmax over classes, then one over the words of the class; in a rest
    class the absolutely discounted count of the word, where the discount is the
    probability of a word that training never saw. It is trained in numpy by
-   truncated backpropagation on about ``TRAIN_DOCS`` whole training texts (those
-   with the smallest hashes) in one task.
+   truncated backpropagation on all training texts: they are dealt by a hash to
+   up to ``ROUNDS`` rounds and, in a round, to shards of about ``SHARD`` tokens.
+   Each shard trains on from the parameters of the round before, and the
+   parameters of its shards, weighted by tokens, are averaged piece by piece.
 4. Scoring: texts of like length advance together, window by window, and the
    state is carried on, so a score is the log-likelihood of the complete text.
    Counts of the ``FREQUENT`` most frequent tokens are broadcast; rarer tokens
@@ -40,11 +42,12 @@ from pyspark.sql import functions as F
 from .common import Kept
 
 SHORT, CLASSES, HIDDEN = 2000, 48, 32
-#: Tokens whose counts are broadcast, and texts that the network is trained on.
+#: Tokens whose counts are broadcast.
 FREQUENT = 50_000
-TRAIN_DOCS = 3000
-LANES, STEPS, EPOCHS, RATE = 128, 16, 2, 0.004
-#: Steps of gradient descent; a small sample is gone through more often.
+LANES, STEPS, RATE = 256, 16, 0.004
+#: Rounds of training, tokens of a shard, and pieces of the averaged parameters.
+ROUNDS, SHARD, PIECES = 4, 1 << 20, 16
+#: Steps of gradient descent; a small corpus is gone through more often.
 LEAST_UPDATES = 400
 WINDOW = 32
 GROUP = 256
@@ -219,32 +222,46 @@ class Network:
                     dh[rows] += e @ p["W"][own]
         return logp, dh
 
-    def train(self, stream: np.ndarray, cls: np.ndarray) -> None:
-        """Truncated backpropagation over a stream of inputs (lanes, tokens);
-        each predicts the next, whose class is in cls."""
+    def train(self, tokens: np.ndarray, cls: np.ndarray, end: int, start: float = 0.0, stop: float = 1.0) -> None:
+        """Truncated backpropagation over the tokens of texts one after another,
+        each predicted once an epoch; ``start`` and ``stop`` are the shares of
+        the whole training that lie before and up to the end of this call."""
+        if not len(tokens):
+            return
         p, k, t = self.p, HIDDEN, 0
         m = {a: np.zeros_like(b) for a, b in p.items()}
         v = {a: np.zeros_like(b) for a, b in p.items()}
-        lanes, length = stream.shape
-        each = max(1, (length - 1) // STEPS)
-        epochs = max(EPOCHS, -(-LEAST_UPDATES // each))
+        lanes = max(1, min(LANES, len(tokens) // (4 * STEPS)))
+        length = -(-len(tokens) // lanes)
+        # the last lane is filled up; what fills it is not predicted
+        fill = lanes * length - len(tokens)
+        x_all = np.concatenate([[end], tokens[:-1], np.full(fill, end)]).astype(np.int64).reshape(lanes, length)
+        y_all, c_all = (np.concatenate([a, np.full(fill, -1)]).reshape(lanes, length) for a in (tokens, cls))
+        each = -(-length // STEPS)
+        epochs = max(1, -(-int(LEAST_UPDATES * (stop - start)) // each))
         updates = epochs * each
         for _ in range(epochs):
             h = np.zeros((lanes, k), np.float32)
-            for start in range(0, length - 1 - STEPS, STEPS):
-                x = stream[:, start : start + STEPS]
-                y, yc = stream[:, start + 1 : start + STEPS + 1], cls[:, start + 1 : start + STEPS + 1]
+            for begin in range(0, length, STEPS):
+                x = x_all[:, begin : begin + STEPS]
+                y, yc = y_all[:, begin : begin + STEPS].T.ravel(), c_all[:, begin : begin + STEPS].T.ravel()
                 g = {a: np.zeros_like(b) for a, b in p.items()}
-                tape, states = [], []
-                for j in range(STEPS):
+                tape, states, moves = [], [], []
+                for j in range(x.shape[1]):
                     new, z, r, n, un = self.step(h, p["E"][x[:, j]] + p["b"])
                     tape.append((h, z, r, n, un))
                     states.append(new)
                     h = new
                 flat = np.concatenate(states)
-                _, dflat = self.outputs(flat, yc.T.ravel(), y.T.ravel(), g)
+                real = y >= 0
+                if real.all():
+                    _, dflat = self.outputs(flat, yc, y, g)
+                else:
+                    dflat = np.zeros_like(flat)
+                    if real.any():
+                        dflat[real] = self.outputs(flat[real], yc[real], y[real], g)[1]
                 dh = np.zeros_like(h)
-                for j in range(STEPS - 1, -1, -1):
+                for j in range(x.shape[1] - 1, -1, -1):
                     prev, z, r, n, un = tape[j]
                     dh = dh + dflat[j * lanes : (j + 1) * lanes]
                     dn = dh * (1 - z) * (1 - n * n)
@@ -253,17 +270,32 @@ class Network:
                     dx = np.concatenate([dz, dr, dn], 1)
                     du = np.concatenate([dz, dr, dn * r], 1)
                     g["U"] += prev.T @ du
-                    np.add.at(g["E"], x[:, j], dx)
-                    g["b"] += dx.sum(0)
+                    moves.append(dx)
                     dh = dh * z + du @ p["U"].T
-                norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+                dx, at = np.concatenate(moves[::-1]), x.T.ravel()
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.diff(at[order], prepend=-1))
+                g["E"][at[order[first]]] = np.add.reduceat(dx[order], first)
+                g["b"] += dx.sum(0)
+                norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
                 t += 1
-                rate = RATE * min(1.0, t / 20) * (1 - 0.9 * t / max(1, updates)) * min(1.0, 1.0 / (norm + 1e-9))
+                done = start + (stop - start) * t / updates
+                rate = RATE * min(1.0, t / 20) * (1 - 0.9 * done) * min(1.0, 1.0 / (norm + 1e-9))
                 for a in p:
                     m[a] += 0.1 * (g[a] - m[a])
                     v[a] += 0.01 * (g[a] ** 2 - v[a])
                     p[a] -= rate * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.99**t)) + 1e-8)
 
+    def flat(self) -> np.ndarray:
+        """All parameters in one row."""
+        return np.concatenate([a.ravel() for a in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        upto = 0
+        for name, a in self.p.items():
+            self.p[name] = flat[upto : upto + a.size].reshape(a.shape).astype(np.float32)
+            upto += a.size
+
     def score(self, texts: list[tuple[np.ndarray, np.ndarray]], end: int) -> np.ndarray:
         """Natural log-likelihood of each text, given as inputs and classes of
         its tokens, the end included. Texts of like length advance together."""
@@ -339,25 +371,87 @@ class Lookup(dict):
         return place
 
 
-def trained_network(sample: DataFrame, vocabulary: Vocabulary) -> bytes:
-    """The pickled network, trained in one task on the texts of sample."""
+def coded_texts(training: DataFrame, vocabulary: Vocabulary, rounds: int, shards: int) -> DataFrame:
+    """(round, shard, key, ids) of each training text: its inputs, the end
+    included, and where it is trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(vocabulary)
-        coded = [coder.code(words(t)) for b in batches for t in b.column(0).to_pylist()]
-        net = Network(vocabulary)
-        if coded:
-            x, c = np.concatenate([a for a, _ in coded]), np.concatenate([a for _, a in coded])
-            lanes = max(1, min(LANES, len(x) // (4 * STEPS)))
-            n = len(x) // lanes
-            net.train(x[: n * lanes].reshape(lanes, n), c[: n * lanes].reshape(lanes, n))
-        yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
+        for batch in batches:
+            ids = [coder.code(words(t))[0].astype(np.int16).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    made = sample.select("text", "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text").select("text").mapInArrow(run, "net binary").collect()
-    return made[0].net if made else pickle.dumps(Network(vocabulary))
+    # the text counts as well, so that rows with one doc_id (or none) spread
+    found = training.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary").withColumn("key", F.xxhash64(F.lit(17), "doc_id", "ids"))
+    place = F.pmod(F.xxhash64(F.lit(18), "key"), F.lit(rounds * shards)).cast("int")
+    return found.select(F.floor(place / shards).cast("int").alias("round"), (place % shards).alias("shard"), "key", "ids")
 
 
-def lm_scores(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, frequent: int = FREQUENT) -> DataFrame:
+def averaged(parts: DataFrame) -> np.ndarray | None:
+    """The parameters of parts (shard, piece, weight, value), weighted, added up
+    piece by piece in the order of the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for piece, w, value in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "value")), strict=True):
+                own = np.frombuffer(value, np.float32) * float(w)
+                if piece in total:
+                    total[piece][0] += w
+                    total[piece][1] += own
+                else:
+                    total[piece] = [w, own.astype(np.float64)]
+        for piece, (w, value) in total.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "value": pa.array([(value / w).astype(np.float32).tobytes()], pa.binary())})
+
+    by_piece = parts.repartitionById(PIECES, F.col("piece")).sortWithinPartitions("piece", "shard", "part")
+    found = sorted(by_piece.mapInArrow(run, "piece int, value binary").collect())
+    return np.concatenate([np.frombuffer(r.value, np.float32) for r in found]) if found else None
+
+
+def trained_network(training: DataFrame, vocabulary: Vocabulary) -> bytes:
+    """The pickled network, trained on all texts of training."""
+    spark = training.sparkSession
+    net = Network(vocabulary)
+    rounds = max(1, min(ROUNDS, -(-vocabulary.n // SHARD)))
+    shards = max(1, -(-vocabulary.n // (rounds * SHARD)))
+    coded = Kept(coded_texts(training, vocabulary, rounds, shards), "round")
+    class_of = np.concatenate([np.pad(vocabulary.cls, (0, SHORT - len(vocabulary.cls))), CLASSES + np.arange(REST)])
+    end = vocabulary.end
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(pickle.dumps(net))
+
+        def run(batches: Iterator[pa.RecordBatch], k=k, sent=sent) -> Iterator[pa.RecordBatch]:
+            own, size, at, part = [], 0, None, 0
+
+            def fitted() -> pa.RecordBatch:
+                fresh, tokens = pickle.loads(sent.value), np.concatenate(own)
+                fresh.train(tokens.astype(np.int64), class_of[tokens], end, k / rounds, (k + 1) / rounds)
+                pieces = np.array_split(fresh.flat(), PIECES)
+                return pa.RecordBatch.from_pydict({"shard": pa.array([at] * PIECES, pa.int32()), "part": pa.array([part] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "weight": pa.array([len(tokens)] * PIECES, pa.int64()), "value": pa.array([x.tobytes() for x in pieces], pa.binary())})
+
+            for batch in batches:
+                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    # a shard that is far longer than the others is trained in parts
+                    if own and (shard != at or size > 4 * SHARD):
+                        yield fitted()
+                        part, own, size = (part + 1 if shard == at else 0), [], 0
+                    at = shard
+                    own.append(np.frombuffer(ids, np.int16))
+                    size += len(own[-1])
+            if own:
+                yield fitted()
+
+        texts = coded.df.where(F.col("round") == k).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+        found = averaged(texts.mapInArrow(run, "shard int, part int, piece int, weight long, value binary"))
+        if found is not None:
+            net.load(found)
+        sent.destroy()
+    coded.drop()
+    return pickle.dumps(net)
+
+
+def lm_scores(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     of each row of docs."""
     spark = docs.sparkSession
@@ -372,9 +466,7 @@ def lm_scores(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS,
     rest = counts.df.join(F.broadcast(short), "word", "left_anti").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
     inside = {r.cls: ((r.n1 + 0.5) / (r.n1 + 2 * r.n2 + 1.0), float(r.c), float(r.k)) for r in rest.collect()}
     vocabulary = Vocabulary([(w, c) for w, c, _ in top], n_docs, inside, n, v)
-    share = min(1.0, train_docs / max(1, n_docs))
-    sample = training.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    net = trained_network(sample, vocabulary)
+    net = trained_network(training, vocabulary)
     sent = spark.sparkContext.broadcast(pickle.dumps((vocabulary, net, top)))
     loaded: dict[int, tuple] = {}
 
