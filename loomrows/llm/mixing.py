@@ -11,10 +11,11 @@ times, and once more by a permuted draw that fills the rest. Documents are
 dealt to blocks by a hash (the permutation); whole blocks are drawn until one
 would exceed the rest, that block is split again by further bits of the hash,
 and so on until a block holds about ``LEAF`` documents. Of these, the largest
-that still fit are taken greedily, and where a large document keeps that short,
-a few smaller ones from other blocks fill the rest. So no source is sorted or
-collected, each level reads a 256th of the one before, and a plan is one short
-row per source.
+that still fit are taken greedily. Documents larger than what is left are set
+aside, and the draw is repeated, by another hash, on all others that are not
+drawn, until no document fits. Each pass leaves less than the smallest document
+that its leaf left, so passes are few. No source is sorted or collected, each
+level reads a 256th of the one before, and a plan is one short row per source.
 
 Shards: each copy of a source is cut in blocks of like size by another hash. The
 blocks of all sources are dealt to 2^depth output shards by a
@@ -25,7 +26,7 @@ quotas stay exact. A shard takes the next blocks of each source's permuted
 list, disjoint from all others, and its rows are shuffled locally by a hash.
 
 Documents without words are never taken. A null doc_id is never drawn for the
-fraction; rows with one doc_id in a source are drawn together. Reruns agree:
+fraction; rows with one doc_id in a source are drawn together, as one unit. Reruns agree:
 everything hangs on hashes of doc_id and ``seed``.
 """
 
@@ -42,8 +43,6 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 LEAF = 64
 FAN_OUT = 256
-#: Documents of each size class that may fill what the leaf leaves.
-SPARE = 4
 #: Words of a shard, blocks that a shard gets on average, and the deepest tree.
 SHARD, BLOCKS, MOST_DEPTH = 1 << 21, 64, 16
 #: Levels of blocks; four reach 64 * 256^4 documents of one source.
@@ -73,15 +72,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return by.select("source", "n_docs", "source_size", target.alias("target"))
 
 
-def block(level: int, seed: int) -> Column:
-    """A document's block of a level, from 15 bits of its hash."""
-    bits = F.pmod(F.shiftright(F.xxhash64(F.lit(seed), F.col("doc_id")), 15 * level), F.lit(1 << 15))
-    return F.floor(bits * F.col(f"blocks{level}") / (1 << 15)).cast("int")
+def repeated(sizes: DataFrame) -> DataFrame:
+    """(source, doc_id, unit) of doc_ids that a source has several times, where
+    unit is the number of words of all their rows."""
+    by = sizes.where("doc_id IS NOT NULL").groupBy("source", "doc_id").agg(F.sum("size").alias("unit"), F.count(F.lit(1)).alias("n"))
+    return by.where("n > 1").select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"), "unit")
+
+
+def with_units(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """rows with ``unit``, the words of all rows of their doc_id and source."""
+    on = rows.join(again, F.col("source").eqNullSafe(F.col("_source")) & (F.col("doc_id") == F.col("_doc_id")), "left")
+    return on.withColumn("unit", F.coalesce("unit", "size")).drop("_source", "_doc_id")
+
+
+def block(turn: int, level: int, seed: int) -> Column:
+    """A document's block of a pass and level, from 15 bits of its hash."""
+    bits = F.pmod(F.shiftright(F.xxhash64(F.lit(seed + turn), F.col("doc_id")), 15 * level), F.lit(1 << 15))
+    return F.floor(bits * F.col(f"blocks{turn}_{level}") / (1 << 15)).cast("int")
 
 
 def mix_plan(sizes: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> Kept:
     """One row per source: target, copies of every document, and what is drawn
-    once more (blocks below ``cut`` of each level, and the list ``picks``).
+    once more: for each pass the largest unit that it draws (``limit``), blocks
+    below ``cut`` of each level, and the list ``picks``. ``need`` is what no
+    document fits.
 
     Args:
         sizes: doc_id, source, size; read several times, so written before.
@@ -89,60 +103,71 @@ def mix_plan(sizes: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIG
     plan = targets(sizes, weights, cap)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("copies", F.least(copies, F.lit(cap)).cast("int"))
-    plan = plan.withColumn("need", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
-    left = F.col("n_docs")
-    for level in range(LEVELS):
-        plan = plan.withColumn(f"blocks{level}", F.least(F.greatest(F.ceil(left / LEAF), F.lit(1)), F.lit(FAN_OUT)).cast("int"))
-        left = left / F.col(f"blocks{level}")
+    step = Kept(plan.withColumn("need", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0))))
+    rows, turn = Kept(with_units(sizes, repeated(sizes)).where("unit > 0 AND doc_id IS NOT NULL").select("doc_id", "source", "size", "unit")), 0
+    while True:
+        # each pass writes what is open to it, which is soon little
+        open_ = with_plan(rows.df, step.df).where("unit <= need")
+        if turn:
+            open_ = open_.where(~drawn(step.df, seed, turn - 1))
+        rows = _next(rows, open_.select("doc_id", "source", "size", "unit"))
+        left = rows.df.groupBy(F.col("source").alias("_source")).agg(F.count(F.lit(1)).alias("n_open")).collect()
+        if not left:
+            rows.drop()
+            return step
+        step = _pass(rows.df, step, left, turn, seed)
+        turn += 1
+
+
+def _next(done: Kept, plan: DataFrame) -> Kept:
     step = Kept(plan)
-    most = step.df.agg(*(F.max(f"blocks{k}").alias(f"m{k}") for k in range(LEVELS))).collect()[0]
-    levels = max(1, sum((m or 1) > 1 for m in most))
+    done.drop()
+    return step
+
+
+def _pass(rows: DataFrame, before: Kept, left: list, turn: int, seed: int) -> Kept:
+    """The plan with one more draw from rows; left has their number by source."""
+    most = max(r.n_open for r in left)
+    counts = before.df.sparkSession.createDataFrame([tuple(r) for r in left], before.df.select(F.col("source").alias("_source"), F.lit(0).cast("long").alias("n_open")).schema)
+    plan = before.df.join(F.broadcast(counts), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    plan = plan.withColumn(f"limit{turn}", F.col("need"))
+    n, levels = F.coalesce("n_open", F.lit(0)), 0
+    for level in range(LEVELS):
+        plan = plan.withColumn(f"blocks{turn}_{level}", F.least(F.greatest(F.ceil(n / LEAF), F.lit(1)), F.lit(FAN_OUT)).cast("int"))
+        n = n / F.col(f"blocks{turn}_{level}")
+        levels += most > LEAF * FAN_OUT**level
+    step = _next(before, plan.drop("n_open"))
     for level in range(levels):
-        inside = _inside(sizes, step.df, level, seed)
-        sums = inside.groupBy("source", block(level, seed).alias("b")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-        run = Window.partitionBy("source").orderBy("b")
-        sums = sums.withColumn("upto", F.sum("words").over(run))
-        cut = sums.where("upto > need").groupBy("source").agg(F.min_by(F.struct((F.col("upto") - F.col("words")).alias("before"), F.col("b").alias("b")), "b").alias("cut"))
-        cut = cut.select(F.col("source").alias("_source"), F.col("cut.b").alias("_b"), F.col("cut.before").alias("_before"))
+        inside = _inside(rows, step.df, turn, level, seed)
+        sums = inside.groupBy("source", block(turn, level, seed).alias("b")).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("b")))
+        first = F.min(F.when(F.col("upto") > F.col("need"), F.struct("b", (F.col("upto") - F.col("words")).alias("before"))))
+        cut = sums.groupBy(F.col("source").alias("_source")).agg(first.alias("_cut"), F.sum("words").alias("_all"))
         on = step.df.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left")
-        # where nothing is left to fill, no block of this level is drawn
-        cut_at = F.when(F.col("need") > 0, F.coalesce("_b", F.col(f"blocks{level}"))).otherwise(0)
-        nxt = on.withColumns({f"cut{level}": cut_at, "need": F.when(F.col("_b").isNull(), 0.0).otherwise(F.col("need") - F.col("_before"))}).drop("_source", "_b", "_before")
-        done, step = step, Kept(nxt)
-        done.drop()
-    inside = _inside(sizes, step.df, levels, seed)
-    filled = _fill(step.df, inside.where("size > 0 AND doc_id IS NOT NULL").groupBy("source", "doc_id").agg(F.sum("size").alias("words")))
-    step.drop()
-    # A document larger than what is left ends the draw early in a leaf: of each
-    # size class up to SPARE others fill that, whichever blocks they are in.
-    spare = with_plan(sizes, filled.df).where("need > 0 AND size > 0 AND size <= need AND doc_id IS NOT NULL").where(~drawn(filled.df, seed))
-    place = F.xxhash64(F.lit(seed + 1), F.col("doc_id"))
-    spare = spare.groupBy("source", F.floor(F.log2("size")).alias("class"), F.pmod(place, F.lit(SPARE)).alias("part")).agg(F.min_by("doc_id", place).alias("doc_id"))
-    spare = spare.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"))
-    spare = sizes.join(spare, F.col("source").eqNullSafe(F.col("_source")) & (F.col("doc_id") == F.col("_doc_id"))).groupBy("source", "doc_id").agg(F.sum("size").alias("words"))
-    out = _fill(filled.df, spare)
-    filled.drop()
-    return out
-
-
-def _fill(plan: DataFrame, units: DataFrame) -> Kept:
-    """The plan with units (source, doc_id, words; few per source) added to its
-    ``picks``, the largest that still fit first, and ``need`` less by these."""
+        used = F.when(F.col("_cut").isNotNull(), F.col("_cut.before")).otherwise(F.coalesce("_all", F.lit(0)))
+        cut_at = F.coalesce(F.col("_cut.b"), F.col(f"blocks{turn}_{level}"))
+        step = _next(step, on.withColumns({f"cut{turn}_{level}": cut_at, "need": F.col("need") - used}).drop("_source", "_cut", "_all"))
+    units = _inside(rows, step.df, turn, levels, seed).groupBy("source", "doc_id").agg(F.first("unit").alias("words"))
+    return _next(step, _fill(step.df, units, turn))
+
+
+def _fill(plan: DataFrame, units: DataFrame, turn: int) -> DataFrame:
+    """The plan with ``picks`` of units (source, doc_id, words; few per source),
+    the largest that still fit first, and ``need`` less by these."""
     lists = units.groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(F.struct("words", "doc_id")), asc=False).alias("units"))
-    before = F.col("picks") if "picks" in plan.columns else F.expr("cast(array() as array<bigint>)")
-    on = plan.withColumn("_picks", before).drop("picks").join(lists, F.col("source").eqNullSafe(F.col("_source")), "left")
-    none = F.struct(F.col("need").alias("left"), F.col("_picks").alias("picks"))
+    on = plan.join(lists, F.col("source").eqNullSafe(F.col("_source")), "left")
+    none = F.struct(F.col("need").alias("left"), F.expr("cast(array() as array<bigint>)").alias("picks"))
     take = lambda a, x: F.when(x["words"] <= a["left"], F.struct((a["left"] - x["words"]).alias("left"), F.concat(a["picks"], F.array(x["doc_id"].cast("long"))).alias("picks"))).otherwise(a)
     on = on.withColumn("_got", F.coalesce(F.aggregate("units", none, take), none))
-    return Kept(on.withColumns({"need": F.col("_got")["left"], "picks": F.col("_got")["picks"]}).drop("_source", "units", "_got", "_picks"))
+    return on.withColumns({"need": F.col("_got")["left"], f"picks{turn}": F.col("_got")["picks"]}).drop("_source", "units", "_got")
 
 
-def _inside(sizes: DataFrame, plan: DataFrame, levels: int, seed: int) -> DataFrame:
-    """Documents inside the blocks that are split at each of the levels."""
-    rows = with_plan(sizes, plan).where("need > 0")
+def _inside(rows: DataFrame, plan: DataFrame, turn: int, levels: int, seed: int) -> DataFrame:
+    """Rows open to a pass that are inside the blocks that are split at each of its levels."""
+    found = with_plan(rows, plan)
     for level in range(levels):
-        rows = rows.where(block(level, seed) == F.col(f"cut{level}"))
-    return rows
+        found = found.where(block(turn, level, seed) == F.col(f"cut{turn}_{level}"))
+    return found
 
 
 def with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -151,22 +176,24 @@ def with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return docs.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def drawn(plan: DataFrame, seed: int = SEED) -> Column:
-    """Whether a document is drawn once more."""
-    levels = sum(c.startswith("cut") for c in plan.columns)
-    picked = F.coalesce(F.array_contains("picks", F.col("doc_id").cast("long")), F.lit(False))
-    last = F.lit(False)
-    for level in reversed(range(levels)):
-        b = block(level, seed)
-        last = F.when(b < F.col(f"cut{level}"), True).when(b == F.col(f"cut{level}"), last).otherwise(False)
-    return last | picked
+def drawn(plan: DataFrame, seed: int = SEED, only: int | None = None) -> Column:
+    """Whether a row (with ``unit``) is drawn once more, in any pass of the plan
+    or in only one."""
+    found = F.lit(False)
+    for turn in range(sum(c.startswith("picks") for c in plan.columns)) if only is None else [only]:
+        last = F.coalesce(F.array_contains(f"picks{turn}", F.col("doc_id").cast("long")), F.lit(False))
+        for level in reversed(range(sum(c.startswith(f"cut{turn}_") for c in plan.columns))):
+            b, cut = block(turn, level, seed), F.col(f"cut{turn}_{level}")
+            last = (b < cut) | ((b == cut) & last)
+        found = found | ((F.col("unit") > 0) & (F.col("unit") <= F.col(f"limit{turn}")) & last)
+    return F.coalesce(found & F.col("doc_id").isNotNull(), F.lit(False))
 
 
 def taken(sizes: DataFrame, plan: Kept, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each document."""
+    """doc_id, size, source_size, target and taken of each document, as planned."""
     words = F.col("size") * (F.col("copies") + drawn(plan.df, seed).cast("int"))
-    out = with_plan(sizes, plan.df).select("doc_id", "size", "source_size", "target", words.cast("long").alias("taken"))
-    return out
+    out = with_plan(with_units(sizes, repeated(sizes)), plan.df)
+    return out.select("doc_id", "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def draw_hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
@@ -235,9 +262,13 @@ def mix(docs: DataFrame, depth: int | None = None, seed: int = SEED, text: str =
     Args:
         depth: the shards are 2^depth; by default of about SHARD words each.
     """
-    columns = docs.columns
     sizes = Kept(sized(docs, text).select("doc_id", "source", "size"))
-    plan = mix_plan(sizes.df, seed)
+    return _dealt(docs, sizes, mix_plan(sizes.df, seed), depth, seed, text)
+
+
+def _dealt(docs: DataFrame, sizes: Kept, plan: Kept, depth: int | None, seed: int, text: str) -> DataFrame:
+    """The rows of ``mix`` by a plan."""
+    columns = docs.columns
     words = plan.df.agg(F.sum("target").alias("words")).collect()[0].words or 0.0
     if depth is None:
         depth = min(MOST_DEPTH, max(2, math.ceil(math.log2(max(1.0, words / SHARD)))))
@@ -256,7 +287,8 @@ def mix(docs: DataFrame, depth: int | None = None, seed: int = SEED, text: str =
     shards = Kept(where.select(F.col("source").alias("_s"), F.col("copy").alias("_copy"), F.col("b").alias("_b"), "shard"))
     # the row as one value, so that no column of docs meets one of the plan
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), "doc_id", "source", F.col(text).alias("_text"))
-    rows = with_plan(sized(rows, "_text").drop("_text"), plan.df).where("size > 0")
+    rows = with_units(sized(rows, "_text").drop("_text"), Kept(repeated(sizes.df)).df)
+    rows = with_plan(rows, plan.df).where("size > 0")
     times = F.col("copies") + drawn(plan.df, seed).cast("int")
     # copies are numbered from 0; the one that is drawn has the number of whole copies
     rows = rows.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
