@@ -266,6 +266,23 @@ def mix(docs: DataFrame, depth: int | None = None, seed: int = SEED, text: str =
     return _dealt(docs, sizes, mix_plan(sizes.df, seed), depth, seed, text)
 
 
+def mix_taken(docs: DataFrame, depth: int | None = None, seed: int = SEED, text: str = "text") -> DataFrame:
+    """doc_id, size, source_size, target and taken of each row of docs, where
+    taken is what the words of its rows in the finished mix add up to."""
+    docs = docs.select("doc_id", "source", F.col(text).alias("text"))
+    sizes = Kept(sized(docs).select("doc_id", "source", "size"))
+    plan = mix_plan(sizes.df, seed)
+    # counted on the texts as they lie in their shards; only the counts are written
+    rows = Kept(sized(_dealt(docs, sizes, plan, depth, seed, "text")).select("doc_id", "source", "size"))
+    # words of a document in the mix and in docs, added up side by side
+    both = rows.df.select("doc_id", "source", F.col("size").alias("mixed"), F.lit(0).cast("long").alias("own"))
+    both = both.unionByName(sizes.df.select("doc_id", "source", F.lit(0).cast("long").alias("mixed"), F.col("size").alias("own")))
+    shares = both.groupBy(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id")).agg(F.sum("mixed").alias("_words"), F.sum("own").alias("_unit"))
+    out = with_plan(sizes.df, plan.df).join(shares, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    words = F.when(F.col("_unit") > 0, F.col("size") * F.col("_words") / F.col("_unit")).otherwise(0)
+    return out.select("doc_id", "size", "source_size", "target", F.round(words).cast("long").alias("taken"))
+
+
 def _dealt(docs: DataFrame, sizes: Kept, plan: Kept, depth: int | None, seed: int, text: str) -> DataFrame:
     """The rows of ``mix`` by a plan."""
     columns = docs.columns

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .chat import chat_digests
-from .common import Kept, read
+from .common import read
 from .hnsw import nearest
 from .lm_score import lm_scores
-from .mixing import mix_plan, sized, taken
+from .mixing import mix_taken
 from .neardup import near_duplicates
 from .quality import STATS, judged
 from .secret_scan import findings
@@ -31,8 +31,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = Kept(sized(read(spark, sf_dir, "documents")).select("doc_id", "source", "size"))
-    return taken(sizes.df, mix_plan(sizes.df))
+    return mix_taken(read(spark, sf_dir, "documents"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""The draw goes on past documents that don't fit."""
+"""The draw goes on past documents that don't fit; the query runs the mix."""
 
 from collections import Counter
 
 import pytest
 
-from loomrows.llm import mixing
+from loomrows.llm import mixing, queries
 
 
 def drawn_words(spark, rows, seed):
@@ -40,3 +40,17 @@ def test_repeated_rows_are_one_unit(spark):
         unit[i] += n * (s == "b" and i is not None)
     left = p.target - p.copies * p.source_size - sum(n for i, n in unit.items() if n and times[i] == {p.copies + 1})
     assert 0 <= left and all(n > left for i, n in unit.items() if n and times[i] == {p.copies})
+
+
+def test_query_reads_its_words_from_the_mix(spark, tmp_path, monkeypatch):
+    rows = [(k, "w " * (1 + k % 30), f"s{k % 3}") for k in range(300)] + [(7, "x y z", "s0"), (None, "a b", "s1"), (400, None, "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = mixing.sized(docs).select("doc_id", "source", "size")
+    planned = Counter(map(tuple, mixing.taken(sizes, mixing.mix_plan(sizes)).collect()))
+    assert Counter(map(tuple, queries.op2_mixing(spark, str(tmp_path)).collect())) == planned
+    # quotas that lose the blocks of a source lose its rows, and the query shows it
+    whole = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: whole(*a).where("source <> 's0'"))
+    lost = queries.op2_mixing(spark, str(tmp_path)).collect()
+    assert len(lost) == len(rows) and sum(r.taken for r in lost) < sum(r[4] * n for r, n in planned.items())
