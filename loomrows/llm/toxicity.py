@@ -161,36 +161,23 @@ def lexicon(docs: list[tuple[list[bytes], int]]) -> list[bytes]:
     return [f for _, f in sorted(found, reverse=True)[:MOST]]
 
 
-def fit_chain(docs: list[tuple[list[bytes], int]], epochs: int = 60) -> tuple[dict[bytes, float], float, np.ndarray]:
-    """Weights, bias and transitions from tokens labelled by their documents.
-    Documents are cut to windows around tokens that carry a feature, and to
-    a window of plain tokens each, which leaves the gradient's terms."""
-    names = lexicon(docs)
-    index = {f: i for i, f in enumerate(names)}
-    windows, width = [], 9
-    for words, toxic in docs:
-        has = [[index[f] for f in features(w) if f in index] for w in words]
-        at = [i for i, x in enumerate(has) if x][:40] or [len(words) // 2]
-        for i in at[:: max(1, len(at) // 12)]:
-            low = max(0, min(i - width // 2, len(words) - width))
-            part = has[low : low + width]
-            if len(part) == width:
-                windows.append((part, [int(bool(x) and toxic) for x in part]))
-    weights, bias, trans = np.zeros(len(names)), -2.0, np.zeros((2, 2))
-    if not windows:
-        return {}, bias, trans
-    y = np.array([t for _, t in windows])
-    rows = np.array([(k, j) for k, (p, _) in enumerate(windows) for j, x in enumerate(p) for _ in x]).reshape(-1, 2)
-    cols = np.array([i for p, _ in windows for x in p for i in x], dtype=int)
-    n, size = y.shape, len(windows)
-    flat = rows[:, 0] * n[1] + rows[:, 1]
-    m_w, v_w, small, v_small = np.zeros(len(names)), np.zeros(len(names)), np.zeros(5), np.zeros(5)
-    for t in range(1, epochs + 1):
-        e = bias + np.bincount(flat, weights=weights[cols], minlength=n[0] * n[1]).reshape(n)
+class _Windows:
+    """Token windows of one length: labels, and the features by their places."""
+
+    def __init__(self, windows: list[tuple[list[list[int]], list[int]]]):
+        self.y = np.array([t for _, t in windows])
+        rows = np.array([(k, j) for k, (p, _) in enumerate(windows) for j, x in enumerate(p) for _ in x], dtype=int).reshape(-1, 2)
+        self.cols = np.array([i for p, _ in windows for x in p for i in x], dtype=int)
+        self.flat = rows[:, 0] * self.y.shape[1] + rows[:, 1]
+
+    def gradient(self, weights: np.ndarray, bias: float, trans: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Of the log-likelihood, for weights, bias and transitions."""
+        n = self.y.shape
+        e = bias + np.bincount(self.flat, weights=weights[self.cols], minlength=n[0] * n[1]).reshape(n)
         psi, emit = np.exp(trans), np.exp(np.clip(e, -30, 30))
         alpha, beta = np.empty((*n, 2)), np.ones((*n, 2))
         for j in range(n[1]):
-            a = np.ones((size, 2)) if j == 0 else alpha[:, j - 1] @ psi
+            a = np.ones((n[0], 2)) if j == 0 else alpha[:, j - 1] @ psi
             a[:, 1] *= emit[:, j]
             alpha[:, j] = a / a.sum(1, keepdims=True)
         pair = np.zeros((2, 2))
@@ -204,10 +191,42 @@ def fit_chain(docs: list[tuple[list[bytes], int]], epochs: int = 60) -> tuple[di
         post = alpha * beta
         post = post[..., 1] / post.sum(-1)
         real = np.zeros((2, 2))
-        np.add.at(real, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        diff = y - post
-        g_w = np.bincount(cols, weights=diff.ravel()[flat], minlength=len(names)) - 0.05 * weights
-        g_s = np.array([diff.sum() - 0.1 * bias, *(real - pair).ravel() - 0.1 * trans.ravel()]) / size
+        np.add.at(real, (self.y[:, :-1].ravel(), self.y[:, 1:].ravel()), 1)
+        diff = self.y - post
+        return np.bincount(self.cols, weights=diff.ravel()[self.flat], minlength=len(weights)), diff.sum(), real - pair
+
+
+def windows_of(words: list[bytes], toxic: int, index: dict[bytes, int], width: int = 9) -> list[tuple[list[list[int]], list[int]]]:
+    """A window around every token that carries a feature, or around the middle
+    of a document without any; a shorter document is one window."""
+    has = [[index[f] for f in features(w) if f in index] for w in words]
+    if not has:
+        return []
+    at = [i for i, x in enumerate(has) if x] or [len(words) // 2]
+    parts = [has[low : low + width] for low in sorted({max(0, min(i - width // 2, len(words) - width)) for i in at})]
+    return [(part, [int(bool(x) and toxic) for x in part]) for part in parts]
+
+
+def fit_chain(docs: list[tuple[list[bytes], int]], epochs: int = 60) -> tuple[dict[bytes, float], float, np.ndarray]:
+    """Weights, bias and transitions from tokens labelled by their documents.
+    Of each document all windows of tokens that carry a feature are used; plain
+    tokens count as far as they lie in such a window."""
+    names = lexicon(docs)
+    index = {f: i for i, f in enumerate(names)}
+    by_length: dict[int, list] = {}
+    for words, toxic in docs:
+        for window in windows_of(words, toxic, index):
+            by_length.setdefault(len(window[0]), []).append(window)
+    weights, bias, trans = np.zeros(len(names)), -2.0, np.zeros((2, 2))
+    if not by_length:
+        return {}, bias, trans
+    size = sum(map(len, by_length.values()))
+    groups = [_Windows(by_length[k]) for k in sorted(by_length)]
+    m_w, v_w, small, v_small = np.zeros(len(names)), np.zeros(len(names)), np.zeros(5), np.zeros(5)
+    for t in range(1, epochs + 1):
+        g_w, g_b, g_t = map(sum, zip(*(g.gradient(weights, bias, trans) for g in groups), strict=True))
+        g_w = g_w - 0.05 * weights
+        g_s = np.array([g_b - 0.1 * bias, *g_t.ravel() - 0.1 * trans.ravel()]) / size
         m_w, v_w = 0.9 * m_w + 0.1 * g_w, 0.99 * v_w + 0.01 * g_w**2
         small, v_small = 0.9 * small + 0.1 * g_s, 0.99 * v_small + 0.01 * g_s**2
         c = 0.3 / (1 - 0.9**t)
