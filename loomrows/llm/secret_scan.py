@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, and a random forest that drops false ones.
 
-Candidates are runs of key characters of at least ``SHORTEST`` with a digit,
-values assigned to names such as token or password, and private key blocks. A
+Candidates are runs of key characters of at least ``SHORTEST`` with a digit or
+a known beginning, values assigned to names such as token or password, and private key blocks. A
 random forest, trained here from labelled findings, judges each by its length,
 entropy, character transitions, coverage by dictionary words, known beginnings,
 the path (a column, if named) and the neighbouring words. The findings are
@@ -12,7 +12,7 @@ encoded data, long words. ``train`` takes any such list, so own findings can be
 used instead.
 
 Scanning reads each whole text once, without a shuffle; a text without a long
-word that holds a digit and without an assignment is left after one split.
+word that holds a digit or a known beginning and without an assignment is left after one split.
 
 Null and empty texts have no candidates. Repeated rows are scanned each by
 itself. Extra columns are kept by ``redacted`` and ignored by ``findings``.
@@ -43,6 +43,7 @@ ASSIGNED = re.compile(rf"(?i)\b(?:[a-z0-9]+[_-])*{NAMES}\b[\"']?\s*(?:[:=]|=>)\s
 RUN = re.compile(r"[A-Za-z0-9+/_\-.=]{16,}")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 KNOWN = re.compile(r"^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|ya29\.|eyJ[A-Za-z0-9_-]+\.eyJ|npm_|SG\.)")
+KNOWN_RUN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+/_\-.=]{16})" + KNOWN.pattern[1:] + r"[A-Za-z0-9+/_\-.=]*")
 GOOD_NEAR = re.compile(rf"(?i){NAMES}")
 BAD_NEAR = re.compile(r"(?i)\b(?:sha(?:1|256|512)?|md5|commit|hash|checksum|digest|uuid|guid|etag|revision|rev|id|order|card|phone|isbn|integrity|example|sample|dummy|placeholder|test|version|build|trace|session)\b")
 FALSE_PATH = re.compile(r"(?i)(?:test|fixture|example|sample|mock|vendor|lock|\.min\.)")
@@ -64,7 +65,10 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "block") for m in BLOCK.finditer(text)]
     if "=" in text or ":" in text:
         found += [(*m.span(2), "assigned") for m in ASSIGNED.finditer(text)]
-    if any(len(w) >= SHORTEST and _digit(w) for w in text.split()):
+    long = [w for w in text.split() if len(w) >= SHORTEST]
+    if any(map(KNOWN_RUN.search, long)):
+        found += [(*m.span(), "run") for m in KNOWN_RUN.finditer(text)]
+    if any(map(_digit, long)):
         found += [(*m.span(), "run") for m in RUN.finditer(text) if _digit(m.group())]
     out, end = [], -1
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
