@@ -7,17 +7,22 @@ linked with nothing. Documents are linked when 100 * intersection >= 80 * union.
 
 1. One pass hashes each text: size and 128-bit digest of its set, and a
    signature of ``BANDS * ROWS`` minima of the hashes a * x + b.
-2. Documents with equal sets are one node, named by the smallest doc_id.
+2. Documents with equal sets are one node with a number of its own. Its text is
+   that of one row, named by a 128-bit key of doc_id and text, so that rows that
+   share a doc_id (or have none) are never taken for each other.
 3. Nodes are dealt to buckets by each band. Before the shuffle each task joins
    the nodes of a bucket that it holds to the smallest of them and sends only
    that one on, so a bucket gets a row per batch, however many nodes it has.
    The result is a tree of edges (key, node, pivot) for each bucket. A pair at
-   0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1e-7.
+   exactly 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.2e-7, which
+   is the rate at which a link may be missed; above 0.8 it falls fast (1e-11 at
+   0.85).
 4. Each node is checked against the pivot that it shares most buckets with:
    pairs whose signatures agree in too few places (five and a half standard
-   deviations below 0.8) go, the rest is confirmed on full sets. A pivot's
-   members are dealt in salted parts.
-5. Components by alternating large-star and small-star steps.
+   deviations below 0.8: one true link in 5e7 is lost) go, the rest is confirmed
+   on full sets. A pivot's members are dealt in salted parts.
+5. Components by alternating large-star and small-star steps. All edges of one
+   node meet in one sorted stream, which takes no memory but isn't split.
 6. Nodes still apart from a pivot are checked against the one of these that they
    share most buckets with, and components are formed anew. At last, nodes of
    different components whose sketches allow a link and that meet in a bucket
@@ -26,10 +31,11 @@ linked with nothing. Documents are linked when 100 * intersection >= 80 * union.
    come. So every pair that shares a bucket has been checked or connected,
    and no bucket emits the pairs of its nodes.
 
-Intermediate tables go to the shared folder. Null texts count as empty. Rows
-with one doc_id are one node per distinct set; a null doc_id keeps its own row
-and takes the component of equal texts. Null components and empty documents:
-component_id is the doc_id itself. Extra columns are ignored.
+Intermediate tables go to the shared folder. Null texts count as empty. A
+component is named by its smallest doc_id, nulls last; rows with one doc_id and
+different texts are documents of their own. Rows without words: component_id is
+the doc_id itself. A row without doc_id is kept if no row of its component has
+one and its text is the component's first by key. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,8 +61,10 @@ HELD = 1024
 #: Shingles of a block of a cluster, two of which are held at once.
 BLOCK_HASHES = 1 << 19
 #: Word hashes that a worker keeps, and words hashed at a time for minima.
-CACHE = 300_000
+CACHE = 100_000
 BLOCK = 4096
+#: Rows of an Arrow batch that are worked on at a time.
+SLICE = 1024
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -108,15 +116,28 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def signatures(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set; null if empty) and sig."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices that take little memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
+def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with k1 and k2, which tell rows apart by doc_id and text."""
+    each = lambda k: F.xxhash64(F.lit(k), F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(text).isNull(), F.col(text))
+    return docs.withColumns({"k1": each(1), "k2": each(2)})
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, k1, k2, n, d1, d2 (digest of the set; null if empty) and sig."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n, d1, d2, sig = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, width)
+            for t in batch.column(3):
+                s = shingle_set(t.as_py(), width)
                 n.append(len(s))
                 if not len(s):
                     d1.append(None), d2.append(None), sig.append(None)
@@ -125,9 +146,9 @@ def signatures(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
                 sig.append(minima(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "k1", "k2", "n", "d1", "d2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,12 +163,15 @@ def band_rows(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column(1)).astype(np.uint64)
             node = np.asarray(batch.column(0))
-            keys = np.zeros((len(node), BANDS), np.uint64)
-            for r in range(ROWS):
-                keys = (keys + sig[:, r::ROWS]) * _C[r]
-                keys ^= keys >> np.uint64(31)
+            keys = np.empty((len(node), BANDS), np.uint64)
+            for start in range(0, len(node), SLICE):
+                sig = _matrix(batch.column(1).slice(start, SLICE))
+                part = np.zeros((len(sig), BANDS), np.uint64)
+                for r in range(ROWS):
+                    part = (part + sig[:, r::ROWS]) * _C[r]
+                    part ^= part >> np.uint64(31)
+                keys[start : start + SLICE] = part
             keys = _mix(keys + np.arange(BANDS, dtype=np.uint64) * _C[40]).ravel().view(np.int64)
             nodes_ = np.repeat(node, BANDS)
             order = np.lexsort((nodes_, keys))
@@ -185,9 +209,7 @@ def _near_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose sizes and signatures allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             na, nb = np.asarray(batch.column(2)), np.asarray(batch.column(3))
             share = (_matrix(batch.column(4)) == _matrix(batch.column(5))).mean(axis=1)
             near = (share >= AGREE) & (100 * np.minimum(na, nb) >= 80 * np.maximum(na, nb))
@@ -205,13 +227,13 @@ def _linked(roles: DataFrame, docs: DataFrame, width: int) -> Kept:
     where the own ones are already connected."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(t, width).tobytes() for t in batch.column(4).to_pylist()]
+        for batch in _slices(batches):
+            made = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], ["grp", "part", "own", "id", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held, block = None, [], [], None
-        for batch in batches:
+        for batch in _slices(batches):
             cols = [c.to_pylist() for c in batch.columns]
             node, pivot = [], []
             for grp, part, own, i, x in zip(*cols, strict=True):
@@ -234,7 +256,7 @@ def _linked(roles: DataFrame, docs: DataFrame, width: int) -> Kept:
                         pivot.append(ids[hit[0]])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(pivot, pa.int64())], ["node", "pivot"])
 
-    rows = docs.join(roles.hint("merge"), docs["doc_id"] == roles["id"]).select("grp", "part", "own", "id", "text")
+    rows = docs.join(roles.hint("merge"), docs["node"] == roles["id"]).select("grp", "part", "own", "id", "text")
     rows = rows.mapInArrow(sets, "grp long, part int, own boolean, id long, data binary")
     rows = rows.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("own").desc(), "id")
     return Kept(rows.mapInArrow(compare, "node long, pivot long"))
@@ -422,8 +444,8 @@ def _inside_clusters(clusters: DataFrame, docs: DataFrame, width: int) -> Kept:
     the next one; these make a cell."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "data"])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["id", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -454,7 +476,7 @@ def _inside_clusters(clusters: DataFrame, docs: DataFrame, width: int) -> Kept:
                             ps.append(node[i]), qs.append(node[k])
             return pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(qs, pa.int64())], ["node", "pivot"]) if ps else None
 
-        for batch in batches:
+        for batch in _slices(batches):
             cluster, cell, low, high, *values = (c.to_pylist() for c in batch.columns)
             for here, *row in zip(zip(cluster, cell, low, high, strict=True), *values, strict=True):
                 if here != now:
@@ -469,66 +491,96 @@ def _inside_clusters(clusters: DataFrame, docs: DataFrame, width: int) -> Kept:
     cells = clusters.withColumn("size", size).withColumn("cell", F.explode(F.array(F.col("size"), F.col("size") - 1))).withColumn("even", F.col("size") == F.col("cell"))
     blocks = cells.groupBy("cluster", "cell").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("even").alias("some")).where("c0 <> c1 AND some").select("cluster", "cell", "blocks")
     roles = _block_pairs(cells.drop("n", "size").join(blocks, ["cluster", "cell"]))
-    near = docs.join(roles.select(F.col("node").alias("_id")).distinct().hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+    near = docs.join(roles.select(F.col("node").alias("_id")).distinct().hint("merge"), F.col("node") == F.col("_id"), "left_semi").select("node", "text")
     data = near.mapInArrow(sets, "id long, data binary")
     rows = roles.join(data.hint("merge"), F.col("node") == F.col("id")).select("cluster", "cell", "low", "high", "own", "even", "node", "component", "sketch", "data")
     rows = rows.repartition("cluster", "cell", "low", "high").sortWithinPartitions("cluster", "cell", "low", "high")
     return Kept(rows.mapInArrow(compare, "node long, pivot long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _texts_of(nodes: DataFrame, docs: DataFrame) -> Kept:
+    """(node, text), a row per node. nodes: node, k1, k2."""
+    wanted = nodes.select("node", F.col("k1").alias("_1"), F.col("k2").alias("_2"))
+    # the merge hint deals texts in one way at every size
+    found = docs.join(wanted.hint("merge"), (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2"))).select("node", "text")
+    near = Kept(found)
+    if near.df.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        return near
+    once = Kept(near.df.groupBy("node").agg(F.first("text").alias("text")))  # rows of a node with one key have one text
+    near.drop()
+    return once
+
+
+def _grouped(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, k1, k2, n of each row of docs (doc_id, k1, k2, text), and f, the
+    first row of its component: null_id, doc_id, k1, k2 (null for empty sets)."""
     base = Kept(signatures(docs, width))
-    classes = Kept(base.df.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    named = classes.df.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "rep")
-    same = (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("doc_id") == F.col("rep"))
-    nodes = Kept(base.df.join(named, same).select("rep", "n", "sig"))
+    first = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "k1", "k2")
+    # sets, and so sizes and signatures, are equal in a class
+    classes = base.df.where("n > 0").groupBy("d1", "d2").agg(F.min(first).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = Kept(classes.withColumn("rep", F.monotonically_increasing_id()))
     # the rows that carry no signature from here on
-    slim = Kept(base.df.select("doc_id", "n", "d1", "d2"))
+    slim = Kept(base.df.select("doc_id", "k1", "k2", "n", "d1", "d2"))
     base.drop()
 
-    bands = band_rows(nodes.df)
-    inside = bands.where("pivot IS NOT NULL AND pivot <> node")
-    between = _trees(bands.where("pivot IS NULL").select("key", "node"))
-    trees = Kept(inside.unionByName(between))
+    bands = Kept(band_rows(nodes.df))
+    inside = bands.df.where("pivot IS NOT NULL AND pivot <> node")
+    trees = Kept(inside.unionByName(_trees(bands.df.where("pivot IS NULL").select("key", "node"))))
+    bands.drop()
 
-    # from here on only texts of documents that share a bucket are read; the
-    # merge hints deal texts in one way at every size
+    # from here on only texts of nodes that share a bucket are read
     shared = trees.df.select(F.col("node").alias("_id")).unionByName(trees.df.select(F.col("pivot").alias("_id"))).distinct()
-    near = Kept(docs.join(shared.hint("merge"), docs["doc_id"] == shared["_id"], "left_semi"))
-    docs = near.df
+    shared = nodes.df.select(F.col("rep").alias("node"), "f.k1", "f.k2").join(shared, F.col("node") == F.col("_id"), "left_semi")
+    near = _texts_of(shared, docs)
 
-    links = _confirmed(_best(trees.df), nodes.df, docs, width)
+    links = _confirmed(_best(trees.df), nodes.df, near.df, width)
     comp = components(links.df)
 
     second = Kept(_best(_with_components(trees.df, comp.df).where("cn <> cp")))
-    more = _confirmed(second.df, nodes.df, docs, width)
+    more = _confirmed(second.df, nodes.df, near.df, width)
     comp, before = components(comp.df.withColumnRenamed("component", "pivot").unionByName(more.df)), comp
     before.drop()
 
     clusters = _clusters(trees.df, comp.df, nodes.df)
-    rest = _inside_clusters(clusters.df, docs, width)
-    clusters.drop()
+    rest = _inside_clusters(clusters.df, near.df, width)
     comp, before = components(comp.df.withColumnRenamed("component", "pivot").unionByName(rest.df)), comp
-    before.drop()
+    for kept in (before, clusters, near, links, second, more, rest, trees):
+        kept.drop()
+
+    # a component takes the name of its first row
+    heads = comp.df.select(F.col("component").alias("node"), "component").distinct()
+    named = comp.df.unionByName(heads).join(nodes.df.select(F.col("rep").alias("node"), "f"), "node")
+    least = named.groupBy("component").agg(F.min("f").alias("f"))
+    new = Kept(named.select("node", "component").join(least, "component").select(F.col("node").alias("_node"), F.col("f").alias("_f")))
+    found = nodes.df.join(new.df, F.col("rep") == F.col("_node"), "left")
+    found = Kept(found.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("_f", "f").alias("f")))
+    for kept in (comp, nodes, new):
+        kept.drop()
+    return slim.df.join(found.df, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left").select("doc_id", "k1", "k2", "n", "f")
+
 
-    found = classes.df.join(comp.df.withColumnRenamed("node", "rep"), "rep", "left")
-    found = Kept(found.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("component", "rep").alias("component")))
-    out = slim.df.join(found.df, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs."""
+    rows = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))
+    component = F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("f.doc_id"))
+    own = F.col("f").isNull() | ((F.col("k1") == F.col("f.k1")) & (F.col("k2") == F.col("f.k2")))
+    kept = F.when(F.col("doc_id").isNull(), own).otherwise(F.col("doc_id").eqNullSafe(component))
+    return _grouped(rows, width).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
-    """docs without near copies: of each group the document with the smallest
-    doc_id, and of rows with one doc_id the first by text."""
-    found = near_duplicates(docs, width, text)
-    kept = Kept(found.where("kept").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")))
-    rows = docs.join(kept.df, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
-    if not kept.df.where("_rows > 1 AND _kept IS NOT NULL").isEmpty():
-        from pyspark.sql import Window
-
-        first = F.row_number().over(Window.partitionBy("_kept").orderBy(*docs.columns))
-        rows = rows.withColumn("_first", first).where("_kept IS NULL OR _first = 1")
-    return rows.select(*docs.columns)
+    """docs without near copies: one row of each component, that with the
+    smallest doc_id (nulls last), and all rows without words. Other rows with
+    the doc_id of one that goes are not touched."""
+    from pyspark.sql import Window
+
+    found = _grouped(with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))), width)
+    own = F.col("f").isNull() | ((F.col("k1") == F.col("f.k1")) & (F.col("k2") == F.col("f.k2")))
+    kept = found.where(own).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.count(F.lit(1)).alias("_rows"), F.first(F.col("f").isNull()).alias("_empty"))
+    kept = Kept(kept)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id"), F.col(text).alias("text"))
+    rows = with_keys(whole).join(kept.df, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    if not kept.df.where("_rows > 1 AND NOT _empty").isEmpty():  # repeated rows
+        first = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.to_json("_row")))
+        rows = rows.withColumn("_first", F.when(F.col("_empty"), 1).otherwise(first)).where("_first = 1")
+    return rows.select("_row.*")

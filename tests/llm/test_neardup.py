@@ -72,5 +72,23 @@ def test_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     got = neardup.near_duplicates(df, 2).collect()
     assert sorted((x.doc_id or 0, x.component_id, x.kept) for x in got) == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False)]
-    assert [x.doc_id for x in neardup.deduplicated(df, 2).collect()] == [1]
+    assert [(x.doc_id, x.component_id) for x in neardup.deduplicated(df, 2).collect()] == [(1, 3)]
     assert neardup.near_duplicates(df.limit(0), 2).count() == 0
+
+
+def test_rows_are_told_apart_by_text_not_by_doc_id(spark):
+    """Null ids and one id on several texts: no row stands for another."""
+    copy, other = "a b c d e f", "zz yy xx ww vv"
+    df = spark.createDataFrame([(None, copy), (None, other), (5, copy), (1, "q w e r t y"), (1, "u i o p a s"), (3, "q w e r t y"), (None, None), (7, "")], "doc_id long, text string")
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in neardup.near_duplicates(df, 2).collect())
+    assert got == Counter([(None, 5, False), (None, None, True), (5, 5, True), (1, 1, True), (1, 1, True), (3, 1, False), (None, None, True), (7, 7, True)])
+    kept = neardup.deduplicated(df, 2).collect()
+    assert Counter((x.doc_id, x.text) for x in kept) == Counter([(None, other), (5, copy), (1, "q w e r t y"), (1, "u i o p a s"), (None, None), (7, "")])
+
+
+def test_many_copies_without_ids_leave_one(spark):
+    df = spark.createDataFrame([(None, "one two three", k) for k in range(5)] + [(None, "one two three four", 9)], "doc_id long, text string, k1 int")
+    assert neardup.deduplicated(df, 2).count() == 2
+    long_text = " ".join(f"w{k}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long_text), (2, long_text + " more")], "doc_id long, text string")
+    assert [x.doc_id for x in neardup.deduplicated(df, 5).collect()] == [1]
