@@ -21,8 +21,9 @@ linked with nothing. Documents are linked when 100 * intersection >= 80 * union.
    pairs whose signatures agree in too few places (five and a half standard
    deviations below 0.8: one true link in 5e7 is lost) go, the rest is confirmed
    on full sets. A pivot's members are dealt in salted parts.
-5. Components by alternating large-star and small-star steps. All edges of one
-   node meet in one sorted stream, which takes no memory but isn't split.
+5. Components by alternating large-star and small-star steps, each a minimum
+   over a node's edges (a window, which spills). All edges of one node meet in
+   one task; that much is not split.
 6. Nodes still apart from a pivot are checked against the one of these that they
    share most buckets with, and components are formed anew. At last, nodes of
    different components whose sketches allow a link and that meet in a bucket
@@ -45,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Kept
@@ -275,50 +276,40 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int)
     return out
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over edges (u, v) that lie together by
-    u in order of v. Large: both directions of each edge; u joins its greater
-    neighbours to the least of all. Small: v < u; u joins itself and its other
-    neighbours to the least."""
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node joins its greater neighbours to the least of itself and all
+    its neighbours. edges: (u, v), in any direction and as often as it likes."""
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+    least = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u"))
+    return least.where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node joins itself and its smaller neighbours to the least of these.
+    edges: (u, v) with v < u."""
+    least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    joined = F.when(F.col("v") == F.col("m"), F.struct("u", "v")).otherwise(F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return least.select(joined.alias("e")).select("e.u", "e.v").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_u = last_v = least = None
-        for batch in batches:
-            u, v = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if not len(u):
-                continue
-            new = np.concatenate([[u[0] != last_u], u[1:] != u[:-1]])
-            twice = ~new & np.concatenate([[v[0] == last_v], v[1:] == v[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
-            first = np.where(at >= 0, v[np.maximum(at, 0)], v[0] if least is None else least)
-            last_u, last_v, least = u[-1], v[-1], first[-1]
-            if large:
-                m = np.minimum(u, first)
-                go = (v > u) & (v != m) & ~twice
-                a, b = v[go], m[go]
-            else:
-                go = ~new & ~twice & (v != first)
-                a, b = np.concatenate([v[go], u[new]]), np.concatenate([first[go], first[new]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
-
-    return edges.repartition("u").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long")
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node is either the least of its neighbours or has one
+    neighbour only, which is such a least one: then stars are components."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    roles = edges.select(ends.alias("e")).groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return roles.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> Kept:
-    """(node, component) for every node of edges (node, pivot); component is
-    the smallest node reachable. Alternating large-star and small-star."""
-    step, state = Kept(edges.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).where("u <> v")), None
-    while True:
-        large = _star(step.df.unionByName(step.df.select(F.col("v").alias("u"), F.col("u").alias("v"))), True)
-        before, step = step, Kept(_star(large, False))
+    """(node, component) for every node of edges (node, pivot) but the smallest
+    of a component; component is the smallest node reachable. Alternating
+    large-star and small-star; a round is one job of three shuffles."""
+    step = Kept(edges.select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).where("u <> v").distinct())
+    while not _all_stars(step.df):
+        before, step = step, Kept(_small_star(_large_star(step.df)))
         before.drop()
-        now = step.df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).collect()[0]
-        if now == state:
-            break
-        state = now
-    out = Kept(step.df.select(F.col("u").alias("node"), F.col("v").alias("component")))
-    step.drop()
-    return out
+    step.df = step.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return step
 
 
 def _with_components(edges: DataFrame, comp: DataFrame) -> DataFrame:
@@ -572,8 +563,6 @@ def deduplicated(docs: DataFrame, width: int = 5, text: str = "text") -> DataFra
     """docs without near copies: one row of each component, that with the
     smallest doc_id (nulls last), and all rows without words. Other rows with
     the doc_id of one that goes are not touched."""
-    from pyspark.sql import Window
-
     found = _grouped(with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))), width)
     own = F.col("f").isNull() | ((F.col("k1") == F.col("f.k1")) & (F.col("k2") == F.col("f.k2")))
     kept = found.where(own).groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.count(F.lit(1)).alias("_rows"), F.first(F.col("f").isNull()).alias("_empty"))
