@@ -17,10 +17,13 @@ So with probability 1 - delta, in no stratum more than a share alpha of good
 documents is rejected by these rules. Strata without enough labels keep the
 base rules alone.
 
-The texts are read twice (labelled ones for thresholds, then all), statistics
-are computed inside each row without exploding words, and no text is shuffled
-but that of labelled documents nobody moves either: labels meet statistics, not
-texts. Thresholds are one row per stratum.
+The tail is that of independent trials, so rows of one text in a stratum are one
+trial, good only if all of them are (near copies still count one by one).
+
+The texts are read once. Statistics are computed inside each row without
+exploding words and written to the shared folder beside the columns to return;
+labels meet statistics, not texts, so no text is shuffled. Thresholds are one
+row per stratum.
 
 Null and empty texts have no words and fail the base rules; a null stratum is a
 stratum; a document with several labels counts as good only if all say so;
@@ -129,23 +132,29 @@ def thresholds(stats: DataFrame, stratum: str, alpha: float = ALPHA, delta: floa
     return safe.groupBy("stratum").pivot("rule", list(RULES)).agg(best)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that have a quality label, with ``good``; one row for a doc_id in
-    labels, whatever its rows say."""
+def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row with ``good`` for each distinct text (columns _t1, _t2) of a
+    stratum that has a quality label; good if all labels of it say so."""
     good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    return docs.join(good, "doc_id")
+    same = [c for c in stats.columns if c != "doc_id"]  # equal for equal texts
+    return stats.join(good, "doc_id").groupBy(*same).agg(F.min("good").alias("good"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs with the statistics, base_failed and kept. Columns of docs that
-    bear the names of statistics are replaced."""
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, columns: list[str] | None = None) -> DataFrame:
+    """docs (or these ``columns`` of them) with the statistics, base_failed and
+    kept. Columns of docs that bear the names of statistics are replaced."""
     names = [*STATS, "n_lines", "n_capitals", "base_failed"]
-    stats = with_stats(docs).select("doc_id", F.col(stratum).alias("stratum"), *names)
-    cutoffs = Kept(thresholds(labelled(stats, labels), "stratum", alpha, delta))
+    wanted = [c for c in (docs.columns if columns is None else columns) if c not in (*names, "kept")]
+    keys = [F.xxhash64(F.lit(k), F.coalesce(F.col("text"), F.lit(""))).alias(f"_t{k}") for k in (1, 2)]
+    # of docs one value per row, so that no column of theirs meets one of these
+    row = F.struct(*(F.col(f"`{c}`") for c in wanted)).alias("_row") if wanted else F.lit(None).cast("int").alias("_row")
+    every = Kept(with_stats(docs.select(row, "doc_id", F.col(stratum).alias("stratum"), "text")).select("_row", "doc_id", "stratum", *keys, *names))
+    known = labelled(every.df.select("doc_id", "stratum", "_t1", "_t2", *names), labels)
+    cutoffs = Kept(thresholds(known, "stratum", alpha, delta))
     cut = cutoffs.df.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_{r}") for r in RULES))
-    all_docs = with_stats(docs).join(cut, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    out = every.df.join(cut, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     rejected = F.lit(False)
     for rule, (score, _) in RULES.items():
         rejected |= F.coalesce(F.expr(score) > F.col(f"_{rule}"), F.lit(False))
-    out = all_docs.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *(f"_{r}" for r in RULES), "n_lines", "n_capitals")
-    return out
+    kept = ~F.col("base_failed") & ~rejected
+    return out.select(*(F.col("_row")[c].alias(c) for c in wanted), *STATS, "base_failed", kept.alias("kept"))

@@ -66,8 +66,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
-    return found.select("doc_id", *STATS, "base_failed", "kept")
+    return judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), columns=["doc_id"]).select("doc_id", *STATS, "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

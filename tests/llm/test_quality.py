@@ -1,3 +1,4 @@
+import datetime
 import math
 import re
 from collections import Counter
@@ -71,3 +72,21 @@ def test_without_labels_the_base_rules_stand_alone(spark):
     rows = quality.judged(docs, labels).collect()
     assert sorted((r.doc_id or 0, r.kept) for r in rows) == [(0, False), (1, True), (1, True), (2, False)]
     assert quality.judged(docs.limit(0), labels).count() == 0
+
+
+def test_copies_of_a_text_are_one_trial(spark):
+    """3000 labels of 3 good texts prove no more than 3."""
+    plain = [f"doc{i} " + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(3)]
+    bad = [" ".join(f"b{i}x{j}###" for j in range(12)) for i in range(50)]
+    rows = [(i, plain[i % 3], "en") for i in range(3000)] + [(3000 + i, t, "en") for i, t in enumerate(bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 3000)) for i in range(3050)], "doc_id long, quality int")
+    assert quality.judged(docs, labels).where("NOT kept").count() == 0
+    known = quality.labelled(docs.select("doc_id", F.col("text").alias("_t1"), F.lit(1).alias("_t2")), labels.withColumn("quality", F.when(F.col("doc_id") == 7, 0).otherwise(F.col("quality"))))
+    assert Counter(r.good for r in known.collect()) == Counter({True: 2, False: 51})
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k", "en", 5, "s", 9, datetime.date(2020, 1, 1))], "doc_id long, text string, lang string, n_words int, stratum string, _t1 int, _row date")
+    r = quality.judged(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).first()
+    assert (r.n_words, r.stratum, r._t1, r._row, r.kept) == (11, "s", 9, datetime.date(2020, 1, 1), True)
