@@ -25,8 +25,9 @@ source (inverse transform from hashed uniforms), the right child the rest, so
 quotas stay exact. A shard takes the next blocks of each source's permuted
 list, disjoint from all others, and its rows are shuffled locally by a hash.
 
-Documents without words are never taken. A null doc_id is never drawn for the
-fraction; rows with one doc_id in a source are drawn together, as one unit. Reruns agree:
+Documents without words are never taken. Rows with a null doc_id have whole
+copies like all others and are never drawn for the fraction. Sources meet in
+one window, a short row each: a million of them is a few hundred MB. Rows with one doc_id in a source are drawn together, as one unit. Reruns agree:
 everything hangs on hashes of doc_id and ``seed``.
 """
 
@@ -312,5 +313,6 @@ def _dealt(docs: DataFrame, sizes: Kept, plan: Kept, depth: int | None, seed: in
     b = F.floor(F.pmod(F.xxhash64(F.lit(seed), F.lit(1), F.col("doc_id"), F.col("copy")), F.lit(1 << 30)) * blocks_of(copy_words) / (1 << 30)).cast("int")
     rows = rows.select("_row", "doc_id", "source", "copy", b.alias("_block"))
     rows = rows.join(shards.df, F.col("source").eqNullSafe(F.col("_s")) & (F.col("copy") == F.col("_copy")) & (F.col("_block") == F.col("_b")))
-    rows = rows.select("_row", "doc_id", "copy", "shard").repartition(1 << depth, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
+    # a task a shard, so that none is empty and none holds two
+    rows = rows.select("_row", "doc_id", "copy", "shard").repartitionById(1 << depth, F.col("shard").cast("int")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     return rows.select(*(F.col("_row")[c].alias(c) for c in columns), *(["shard"] if "shard" not in columns else []))

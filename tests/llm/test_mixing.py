@@ -80,3 +80,15 @@ def test_empty(spark):
     sizes = mixing.sized(df.limit(0)).select("doc_id", "source", "size")
     assert mixing.taken(sizes, mixing.mix_plan(sizes)).count() == 0
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_null_ids_have_whole_copies_only(spark):
+    rows = [(None if k % 3 == 0 else k, f"a b c d e {k}", s) for k, s in enumerate("aaaaaaaaabbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.source: r for r in mixing.mix_plan(mixing.sized(df).select("doc_id", "source", "size")).df.collect()}
+    got = mixing.mix(df).groupBy("source", F.col("doc_id").isNull().alias("none")).count().collect()
+    for r in got:
+        if r["none"]:
+            assert r["count"] == plan[r.source].copies * sum(i is None and s == r.source for i, _, s in rows)
+    shards = mixing.mix(df, depth=3).select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in shards}) == len(shards) == len({r.shard for r in shards})
