@@ -218,7 +218,7 @@ def _near_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     a = nodes.select(F.col("rep").alias("node"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = nodes.select(F.col("rep").alias("pivot"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    return pairs.join(a, "node").join(b, "pivot").select("node", "pivot", "na", "nb", "sa", "sb").mapInArrow(run, "node long, pivot long")
+    return pairs.join(a, "node").join(b, "pivot").select("node", "pivot", "na", "nb", "sa", "sb").mapInArrow(run, "node long, pivot long").repartition("pivot", "node")
 
 
 def _linked(roles: DataFrame, docs: DataFrame, width: int) -> Kept:
@@ -510,9 +510,6 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     # sets, and so sizes and signatures, are equal in a class
     classes = base.df.where("n > 0").groupBy("d1", "d2").agg(F.min(first).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = Kept(classes.withColumn("rep", F.monotonically_increasing_id()))
-    # the rows that carry no signature from here on
-    slim = Kept(base.df.select("doc_id", "k1", "k2", "n", "d1", "d2"))
-    base.drop()
 
     bands = Kept(band_rows(nodes.df))
     inside = bands.df.where("pivot IS NOT NULL AND pivot <> node")
@@ -547,7 +544,7 @@ def _grouped(docs: DataFrame, width: int) -> DataFrame:
     found = Kept(found.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("_f", "f").alias("f")))
     for kept in (comp, nodes, new):
         kept.drop()
-    return slim.df.join(found.df, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left").select("doc_id", "k1", "k2", "n", "f")
+    return base.df.join(found.df, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left").select("doc_id", "k1", "k2", "n", "f")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
