@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 FREQUENT = 32_768
 SUMMARY = 65_536
 CACHE = 200_000
-#: Pre-tokens longer than this (in bytes) are encoded but never kept.
+#: Pre-tokens longer than this are encoded but never kept.
 LONG = 64
 #: Characters of text that are split at a time.
 PART = 1 << 21
@@ -116,6 +116,13 @@ def parts_of(cut: str) -> Iterator[str]:
     yield cut[start:]
 
 
+def spaced(text: str) -> str | None:
+    """A text whose pre-tokens stand between single spaces; None if it can't be
+    cut this way."""
+    whole = text.replace("\n", " \n")
+    return None if "  " in whole or whole[:1] == " " or whole[-1:] == " " or MARK in whole else whole
+
+
 def split(texts: pa.Array) -> Iterator[tuple]:
     """(rows, pre-tokens, starts): rows whose pre-tokens begin at starts; a row
     may come in several parts. A pre-token is what stands after one space, or
@@ -133,8 +140,8 @@ def split(texts: pa.Array) -> Iterator[tuple]:
         text = value.as_py()
         if not text:
             continue
-        whole = text.replace("\n", " \n")
-        if "  " in whole or whole[0] == " " or whole[-1] == " " or MARK in whole:
+        whole = spaced(text)
+        if whole is None:
             yield row, None, None
             continue
         for part in parts_of(whole):
@@ -159,14 +166,12 @@ def frequent_pretokens(texts: DataFrame, column: str, most: int = FREQUENT) -> l
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for _, words, _ in split(batch.column(0)):
-                if words is None:
-                    continue
-                found = pc.value_counts(words)
-                short = pc.less_equal(pc.binary_length(found.field(0)), LONG)
-                counts.update(dict(zip(*(found.field(k).filter(short).to_pylist() for k in (0, 1)), strict=True)))
-                if len(counts) > 4 * SUMMARY:
-                    counts = Counter(dict(counts.most_common(SUMMARY)))
+            for value in batch.column(0):
+                whole = spaced(value.as_py() or "")
+                for part in parts_of(whole) if whole else ():
+                    counts.update([w for w in part.split(" ") if len(w) <= LONG])
+                    if len(counts) > 4 * SUMMARY:
+                        counts = Counter(dict(counts.most_common(SUMMARY)))
         yield pa.RecordBatch.from_pydict({"summary": [_summary(counts, most)]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
