@@ -8,8 +8,11 @@ crc32(doc_id) mod 10 is not 0 are learned from.
    inside the rest classes come from these counts over the whole corpus.
 2. Vocabulary: the ``SHORT`` most frequent tokens are dealt by frequency to
    ``CLASSES`` classes; all others fall in ``REST`` rest classes by their form
-   (script and last character).
-3. Network: a gated recurrent unit of ``HIDDEN`` cells. Its output is factored:
+   (ASCII or not; last character a letter, digit, stop, comma or other).
+3. Coding: each text becomes its row of inputs, two bytes a token, with the sums
+   that need counts alone. Counts of the ``FREQUENT`` most frequent tokens are
+   broadcast; rarer tokens are joined with the counts and added to their texts.
+4. Network: a gated recurrent unit of ``HIDDEN`` cells. Its output is factored:
    a softmax over classes, then one over the words of the class; in a rest
    class the absolutely discounted count of the word, where the discount is the
    probability of a word that training never saw. It is trained in numpy by
@@ -17,10 +20,9 @@ crc32(doc_id) mod 10 is not 0 are learned from.
    up to ``ROUNDS`` rounds and, in a round, to shards of about ``SHARD`` tokens.
    Each shard trains on from the parameters of the round before, and the
    parameters of its shards, weighted by tokens, are averaged piece by piece.
-4. Scoring: texts of like length advance together, window by window, and the
+5. Scoring: texts of like length advance together, window by window, and the
    state is carried on, so a score is the log-likelihood of the complete text.
-   Counts of the ``FREQUENT`` most frequent tokens are broadcast; rarer tokens
-   are joined with the counts and added to their texts.
+   Memory is that of a window, however long a text is.
 
 The unit of prediction is the same as in the base score: a training token, or a
 token that training never saw. Null and empty texts are the end token alone. A
@@ -41,19 +43,21 @@ from pyspark.sql import functions as F
 
 from .common import Kept
 
-SHORT, CLASSES, HIDDEN = 2000, 48, 32
+SHORT, CLASSES, HIDDEN = 2000, 24, 32
 #: Tokens whose counts are broadcast.
-FREQUENT = 50_000
-LANES, STEPS, RATE = 256, 16, 0.004
+FREQUENT = 200_000
+LANES, STEPS, RATE = 512, 16, 0.006
 #: Rounds of training, tokens of a shard, and pieces of the averaged parameters.
 ROUNDS, SHARD, PIECES = 4, 1 << 20, 16
 #: Steps of gradient descent; a small corpus is gone through more often.
 LEAST_UPDATES = 400
-WINDOW = 32
-GROUP = 256
+#: Tokens of a text and texts that are scored at a time, and rows that are read.
+WINDOW, GROUP, SLICE = 32, 512, 2048
+#: Words that a worker keeps beside the frequent ones.
+CACHE = 200_000
 END = ""
-_LAST = b".,!*%$&#|"
-REST = 4 * (len(_LAST) + 2)
+KINDS = 5
+REST = 2 * KINDS
 
 
 def words(text: str | None) -> list[bytes]:
@@ -63,18 +67,15 @@ def words(text: str | None) -> list[bytes]:
 def rest_class(word: bytes) -> int:
     """The class of a word outside the short list, by its form."""
     last = word[-1]
-    k = _LAST.find(last)
-    if k < 0:
-        k = len(_LAST) + (not (97 <= last < 123 or last >= 128))
-    script = 0
-    if not word.isascii():
-        pair = word[next(i for i, b in enumerate(word) if b >= 128) :][:2]
-        script = 1 if pair in _GERMAN else 2 if pair in _SPANISH else 3
-    return script * (len(_LAST) + 2) + k
+    kind = 0 if 97 <= last < 123 or last >= 128 else 1 if 48 <= last < 58 else 2 if last == 46 else 3 if last == 44 else 4
+    return kind + KINDS * (not word.isascii())
 
 
-_GERMAN = frozenset(c.encode() for c in "äöüßÄÖÜ")
-_SPANISH = frozenset(c.encode() for c in "ñíóáúÑÍÓÁÚ¿¡")
+def rest_class_of(word: Column) -> Column:
+    """The same in Spark."""
+    last = F.substring(word, -1, 1)
+    kind = F.when(last.rlike("[a-z]") | (F.octet_length(last) > 1), 0).when(last.rlike("[0-9]"), 1).when(last == ".", 2).when(last == ",", 3).otherwise(4)
+    return (kind + KINDS * (F.octet_length(word) > F.char_length(word)).cast("int")).cast("int")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,20 +89,20 @@ def token_counts(training: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def sent() -> pa.RecordBatch:
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys], pa.string()), pa.array(map(rest_class, keys), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "cls", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
             counts.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words(text))
+            for text in batch.column(0):
+                counts.update(words(text.as_py()))
                 if len(counts) > 300_000:
                     yield sent()
         if counts:
             yield sent()
 
-    return training.select("text").mapInArrow(run, "word string, cls int, c long").groupBy("word", "cls").agg(F.sum("c").alias("c"))
+    counts = training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return counts.select("word", rest_class_of(F.col("word")).alias("cls"), "c")
 
 
 def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[str, int, int]]:
@@ -153,18 +154,31 @@ class Vocabulary:
         return float(np.log10((c - d) / total if c else d * kinds / total))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _exp(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits h @ weights + bias, less what keeps them from overflow, at
+    (rows, at); their exponentials; and the sums of these. States are within
+    -1 and 1, which mostly bounds logits without a look at each."""
+    a = h @ weights
+    a += bias
+    top = float((np.abs(weights).sum(0) + np.abs(bias)).max())
+    if top > 40:
+        a -= a.max(1, keepdims=True)
+    own = a[rows, at]
+    np.exp(a, out=a)
+    return own, a, a @ np.ones(a.shape[1], a.dtype)
 
 
 class Network:
-    """Parameters by name. Inputs are short-list words, or a rest class."""
+    """Parameters by name, views of one flat array. Inputs are short-list words,
+    or a rest class."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 3):
         r = np.random.default_rng(seed)
         h, inputs, outs = HIDDEN, SHORT + REST, CLASSES + REST
-        f = lambda *s, k=0.1: (r.standard_normal(s) * k).astype(np.float32)
-        self.p = {"E": f(inputs, 3 * h), "U": f(h, 3 * h, k=h**-0.5), "b": np.zeros(3 * h, np.float32), "C": f(h, outs), "c": np.zeros(outs, np.float32), "W": f(SHORT, h), "w": np.zeros(SHORT, np.float32)}
+        f = lambda *s, k=0.1: r.standard_normal(s) * k
+        first = {"E": f(inputs, 3 * h), "U": f(h, 3 * h, k=h**-0.5), "b": np.zeros(3 * h), "C": f(h, outs), "c": np.zeros(outs), "W": f(SHORT, h), "w": np.zeros(SHORT)}
+        self.shapes = {name: a.shape for name, a in first.items()}
+        self.load(np.concatenate([a.ravel() for a in first.values()]))
         v = vocabulary
         weight = np.zeros(outs)
         np.add.at(weight, v.cls, v.counts)
@@ -172,55 +186,89 @@ class Network:
             weight[CLASSES + k] = total
         self.p["c"][:] = np.log(np.maximum(weight, 0.5) / max(weight.sum(), 1))
         self.p["w"][: len(v.counts)] = np.log(np.maximum(v.counts, 0.5))
-        self.members = [np.flatnonzero(v.cls == k) for k in range(CLASSES)]
-        self.place = v.place
+        # classes are dealt by frequency, so a class is a range of the short list
+        self.cuts = np.searchsorted(v.cls, np.arange(CLASSES + 1))
+        self.members = [np.arange(*self.cuts[k : k + 2]) for k in range(CLASSES)]
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, upto = {}, 0
+        for name, shape in self.shapes.items():
+            size = int(np.prod(shape))
+            out[name] = flat[upto : upto + size].reshape(shape)
+            upto += size
+        return out
+
+    def flat(self) -> np.ndarray:
+        """All parameters in one row."""
+        return self.row
+
+    def load(self, flat: np.ndarray) -> None:
+        self.row = flat.astype(np.float32)
+        self.p = self.views(self.row)
+
+    def __getstate__(self) -> dict:
+        return {"row": self.row, "shapes": self.shapes, "cuts": self.cuts, "members": self.members}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.p = self.views(self.row)
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step from states h and input rows x of E."""
         k = HIDDEN
         u = h @ self.p["U"]
-        zr = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
+        zr = x[:, : 2 * k] + u[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * u[:, 2 * k :])
-        return n + z * (h - n), z, r, n, u[:, 2 * k :]
+        un = u[:, 2 * k :]
+        n = r * un
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, un
 
     def outputs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p of the classes and, inside the short list, of the words; with
         grads also the gradient for h (of the mean negative log-likelihood)."""
-        p, every = self.p, np.arange(len(h))
-        a = h @ p["C"] + p["c"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1)
-        logp = a[every, cls] - np.log(s)
+        p, n = self.p, len(h)
+        # by class and word, so that each class is one slice
+        key = (cls.astype(np.int32) << 16) + np.where(cls < CLASSES, word, 0)
+        order = np.argsort(key)
+        hs, cs, ws = h[order], cls[order], word[order]
+        every = np.arange(n)
+        own, a, s = _exp(hs, p["C"], p["c"], every, cs)
+        logp = own - np.log(s)
         dh = None
         if grads is not None:
-            e /= s[:, None]
-            e[every, cls] -= 1
-            e /= len(h)
-            grads["C"] += h.T @ e
-            grads["c"] += e.sum(0)
-            dh = e @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            a /= s[:, None]
+            a[every, cs] -= 1
+            a /= n
+            grads["C"] += hs.T @ a
+            grads["c"] += a.sum(0)
+            dh = a @ p["C"].T
+        cuts = np.searchsorted(cs, np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            rows, own = order[cuts[k] : cuts[k + 1]], self.members[k]
-            if len(rows) and len(own) > 1:
-                hk = h[rows]
-                a = hk @ p["W"][own].T + p["w"][own]
-                a -= a.max(1, keepdims=True)
-                e = np.exp(a)
-                s = e.sum(1)
-                at = self.place[word[rows]]
-                logp[rows] += a[np.arange(len(rows)), at] - np.log(s)
+            low, high, first, last = cuts[k], cuts[k + 1], self.cuts[k], self.cuts[k + 1]
+            if high > low and last - first > 1:
+                hk, at = hs[low:high], ws[low:high] - first
+                mine = every[: high - low]
+                own, a, s = _exp(hk, p["W"][first:last].T, p["w"][first:last], mine, at)
+                logp[low:high] += own - np.log(s)
                 if grads is not None:
-                    e /= s[:, None]
-                    e[np.arange(len(rows)), at] -= 1
-                    e /= len(h)
-                    grads["W"][own] += e.T @ hk
-                    grads["w"][own] += e.sum(0)
-                    dh[rows] += e @ p["W"][own]
-        return logp, dh
+                    a /= s[:, None]
+                    a[mine, at] -= 1
+                    a /= n
+                    grads["W"][first:last] += a.T @ hk
+                    grads["w"][first:last] += a.sum(0)
+                    dh[low:high] += a @ p["W"][first:last]
+        back = np.empty_like(order)
+        back[order] = every
+        return logp[back], None if dh is None else dh[back]
 
     def train(self, tokens: np.ndarray, cls: np.ndarray, end: int, start: float = 0.0, stop: float = 1.0) -> None:
         """Truncated backpropagation over the tokens of texts one after another,
@@ -228,28 +276,32 @@ class Network:
         the whole training that lie before and up to the end of this call."""
         if not len(tokens):
             return
-        p, k, t = self.p, HIDDEN, 0
-        m = {a: np.zeros_like(b) for a, b in p.items()}
-        v = {a: np.zeros_like(b) for a, b in p.items()}
+        p, k, t, row = self.p, HIDDEN, 0, self.row
+        grad, m, v, room = (np.zeros_like(row) for _ in range(4))
+        g = self.views(grad)
         lanes = max(1, min(LANES, len(tokens) // (4 * STEPS)))
         length = -(-len(tokens) // lanes)
         # the last lane is filled up; what fills it is not predicted
         fill = lanes * length - len(tokens)
-        x_all = np.concatenate([[end], tokens[:-1], np.full(fill, end)]).astype(np.int64).reshape(lanes, length)
-        y_all, c_all = (np.concatenate([a, np.full(fill, -1)]).reshape(lanes, length) for a in (tokens, cls))
+        x_all = np.concatenate([[end], tokens[:-1], np.full(fill, end)]).astype(np.int32).reshape(lanes, length).T.copy()
+        y_all, c_all = (np.concatenate([a, np.full(fill, -1)]).astype(np.int32).reshape(lanes, length).T.copy() for a in (tokens, cls))
         each = -(-length // STEPS)
         epochs = max(1, -(-int(LEAST_UPDATES * (stop - start)) // each))
         updates = epochs * each
         for _ in range(epochs):
             h = np.zeros((lanes, k), np.float32)
             for begin in range(0, length, STEPS):
-                x = x_all[:, begin : begin + STEPS]
-                y, yc = y_all[:, begin : begin + STEPS].T.ravel(), c_all[:, begin : begin + STEPS].T.ravel()
-                g = {a: np.zeros_like(b) for a, b in p.items()}
-                tape, states, moves = [], [], []
-                for j in range(x.shape[1]):
-                    new, z, r, n, un = self.step(h, p["E"][x[:, j]] + p["b"])
-                    tape.append((h, z, r, n, un))
+                x = x_all[begin : begin + STEPS]
+                y, yc = y_all[begin : begin + STEPS].ravel(), c_all[begin : begin + STEPS].ravel()
+                grad[:] = 0
+                tape = np.empty((5, len(x), lanes, k), np.float32)
+                states = []
+                for j, at in enumerate(x):
+                    rows = p["E"][at]
+                    rows += p["b"]
+                    new, *kept = self.step(h, rows)
+                    for into, value in zip(tape[:, j], (h, *kept), strict=True):
+                        into[:] = value
                     states.append(new)
                     h = new
                 flat = np.concatenate(states)
@@ -260,129 +312,152 @@ class Network:
                     dflat = np.zeros_like(flat)
                     if real.any():
                         dflat[real] = self.outputs(flat[real], yc[real], y[real], g)[1]
+                prev, z, r, n, un = tape
+                # what the gradient of a state is multiplied by, for all steps at once
+                by_n = (1 - z) * (1 - n * n)
+                by_z, by_r = (prev - n) * z * (1 - z), by_n * un * r * (1 - r)
+                by_u = by_n * r
+                moves, pulls = (np.empty((len(x), lanes, 3 * k), np.float32) for _ in range(2))
                 dh = np.zeros_like(h)
-                for j in range(x.shape[1] - 1, -1, -1):
-                    prev, z, r, n, un = tape[j]
-                    dh = dh + dflat[j * lanes : (j + 1) * lanes]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (prev - n) * z * (1 - z)
-                    dr = dn * un * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dn], 1)
-                    du = np.concatenate([dz, dr, dn * r], 1)
-                    g["U"] += prev.T @ du
-                    moves.append(dx)
-                    dh = dh * z + du @ p["U"].T
-                dx, at = np.concatenate(moves[::-1]), x.T.ravel()
-                order = np.argsort(at, kind="stable")
+                for j in range(len(x) - 1, -1, -1):
+                    dh += dflat[j * lanes : (j + 1) * lanes]
+                    du = pulls[j]
+                    np.multiply(dh, by_z[j], out=du[:, :k])
+                    np.multiply(dh, by_r[j], out=du[:, k : 2 * k])
+                    np.multiply(dh, by_u[j], out=du[:, 2 * k :])
+                    np.multiply(dh, by_n[j], out=moves[j][:, 2 * k :])
+                    dh *= z[j]
+                    dh += du @ p["U"].T
+                moves[:, :, : 2 * k] = pulls[:, :, : 2 * k]
+                g["U"] += prev.reshape(-1, k).T @ pulls.reshape(-1, 3 * k)
+                dx, at = moves.reshape(-1, 3 * k), x.ravel()
+                order = np.argsort(at.astype(np.int16), kind="stable")
                 first = np.flatnonzero(np.diff(at[order], prepend=-1))
                 g["E"][at[order[first]]] = np.add.reduceat(dx[order], first)
                 g["b"] += dx.sum(0)
-                norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
+                norm = float(np.sqrt(np.vdot(grad, grad)))
                 t += 1
                 done = start + (stop - start) * t / updates
-                rate = RATE * min(1.0, t / 20) * (1 - 0.9 * done) * min(1.0, 1.0 / (norm + 1e-9))
-                for a in p:
-                    m[a] += 0.1 * (g[a] - m[a])
-                    v[a] += 0.01 * (g[a] ** 2 - v[a])
-                    p[a] -= rate * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.99**t)) + 1e-8)
-
-    def flat(self) -> np.ndarray:
-        """All parameters in one row."""
-        return np.concatenate([a.ravel() for a in self.p.values()])
-
-    def load(self, flat: np.ndarray) -> None:
-        upto = 0
-        for name, a in self.p.items():
-            self.p[name] = flat[upto : upto + a.size].reshape(a.shape).astype(np.float32)
-            upto += a.size
-
-    def score(self, texts: list[tuple[np.ndarray, np.ndarray]], end: int) -> np.ndarray:
-        """Natural log-likelihood of each text, given as inputs and classes of
-        its tokens, the end included. Texts of like length advance together."""
+                rate = RATE * min(1.0, t / 20) * (1 - 0.9 * done) * min(1.0, 1.0 / (norm + 1e-9)) / (1 - 0.9**t)
+                m *= 0.9
+                np.multiply(grad, 0.1, out=room)
+                m += room
+                grad *= grad
+                grad *= 0.01
+                v *= 0.99
+                v += grad
+                np.multiply(v, 1 / (1 - 0.99**t), out=room)
+                np.sqrt(room, out=room)
+                room += 1e-8
+                np.divide(m, room, out=room)
+                room *= rate
+                row -= room
+
+    def score(self, texts: list[np.ndarray], class_of: np.ndarray, end: int) -> np.ndarray:
+        """Natural log-likelihood of each text, given as the inputs of its
+        tokens without the end. Texts of like length advance together."""
         out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         table = self.p["E"] + self.p["b"]
         for start in range(0, len(order), GROUP):
             group = order[start : start + GROUP]
-            sizes = np.array([len(texts[i][0]) for i in group])
-            x = np.full((len(group), sizes[0] + 1), end, np.int32)
-            c = np.zeros((len(group), sizes[0] + 1), np.int32)
-            for k, i in enumerate(group):
-                x[k, 1 : sizes[k] + 1], c[k, 1 : sizes[k] + 1] = texts[i]
+            sizes = np.array([len(texts[i]) + 1 for i in group])
             h, total = np.zeros((len(group), HIDDEN), np.float32), np.zeros(len(group))
+            last = np.full(len(group), end, np.int32)
             for begin in range(0, sizes[0], WINDOW):
-                states, rows, ys, cs = [], [], [], []
+                live = int(np.searchsorted(-sizes, -begin, side="left"))  # texts longer than begin
+                ids = np.full((WINDOW + 1, live), end, np.int32)
+                ids[0] = last[:live]
+                for k in range(live):
+                    part = texts[group[k]][begin : begin + WINDOW]
+                    ids[1 : len(part) + 1, k] = part
+                states, ys, rows = [], [], []
                 for j in range(begin, min(begin + WINDOW, sizes[0])):
-                    live = int(np.searchsorted(-sizes, -j, side="left"))  # texts longer than j
-                    h = self.step(h[:live], table[x[:live, j]])[0]
-                    states.append(h), rows.append(live), ys.append(x[:live, j + 1]), cs.append(c[:live, j + 1])
-                logp, _ = self.outputs(np.concatenate(states), np.concatenate(cs), np.concatenate(ys))
+                    live = int(np.searchsorted(-sizes, -j, side="left"))
+                    h = self.step(h[:live], table[ids[j - begin, :live]])[0]
+                    states.append(h), ys.append(ids[j - begin + 1, :live]), rows.append(live)
+                last = ids[-1]
+                y = np.concatenate(ys)
+                logp, _ = self.outputs(np.concatenate(states), class_of[y], y)
                 total += np.bincount(np.concatenate([np.arange(n) for n in rows]), weights=logp, minlength=len(group))
             out[group] = total
         return out
 
 
-class Coder(dict):
-    """Tokens to (input, class), looked up once per worker and word."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.v = vocabulary
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= 300_000:
-            self.clear()
-        i = self.v.index.get(word)
-        if i is None:
-            k = rest_class(word)
-            got = SHORT + k, CLASSES + k
-        else:
-            got = i, int(self.v.cls[i])
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-    def code(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.array([*map(self.__getitem__, tokens), (self.v.end, int(self.v.cls[self.v.end]))], dtype=np.int32)
-        return pairs[:, 0], pairs[:, 1]
-
-
 class Lookup(dict):
-    """Tokens to places in flat arrays of inputs, classes and scores: those
-    whose counts were broadcast first, then a place for each rest class."""
+    """Tokens to places in flat arrays of inputs and of scores that need counts
+    alone: those whose counts were broadcast first, then one for each rest class."""
 
     def __init__(self, vocabulary: Vocabulary, top: list[tuple[str, int, int]]):
         v, self.known = vocabulary, len(top)
         self.first = {w.encode(): i for i, (w, _, _) in enumerate(top)}
         super().__init__(self.first)
         short = [v.index.get(w.encode(), -1) for w, _, _ in top]
-        self.input = np.array([i if i >= 0 else SHORT + k for i, (_, _, k) in zip(short, top, strict=True)] + [SHORT + k for k in range(REST)], np.int32)
-        self.cls = np.array([v.cls[i] if i >= 0 else CLASSES + k for i, (_, _, k) in zip(short, top, strict=True)] + [CLASSES + k for k in range(REST)], np.int32)
+        self.input = np.array([i if i >= 0 else SHORT + k for i, (_, _, k) in zip(short, top, strict=True)] + [SHORT + k for k in range(REST)], np.uint16)
         self.base = np.array([float(v.base(c)) for _, c, _ in top] + [0.0] * REST)
         self.inside = np.array([0.0 if i >= 0 else v.inside(c, k) for i, (_, c, k) in zip(short, top, strict=True)] + [0.0] * REST)
 
     def __missing__(self, word: bytes) -> int:
         place = self.known + rest_class(word)
         if len(word) <= 64:
-            if len(self) >= self.known + 300_000:
+            if len(self) >= self.known + CACHE:
                 self.clear()
                 self.update(self.first)
             self[word] = place
         return place
 
+    def code(self, tokens: list[bytes]) -> np.ndarray:
+        """Places of tokens."""
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
-def coded_texts(training: DataFrame, vocabulary: Vocabulary, rounds: int, shards: int) -> DataFrame:
-    """(round, shard, key, ids) of each training text: its inputs, the end
-    included, and where it is trained on."""
+
+def class_table(vocabulary: Vocabulary) -> np.ndarray:
+    """The class of each input."""
+    return np.concatenate([np.pad(vocabulary.cls, (0, SHORT - len(vocabulary.cls))), CLASSES + np.arange(REST)]).astype(np.int32)
+
+
+CODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, ids binary, word string, cls int, times long"
+
+
+def coded_texts(docs: DataFrame, vocabulary: Vocabulary, top: list[tuple[str, int, int]], n_docs: int) -> DataFrame:
+    """A row for each row of docs (doc_id, text, held_out), with its inputs and
+    with the parts of the scores that the frequent tokens give; and a row
+    (uid, word, cls, times) for each other word of it."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, top)))
+    loaded: dict[int, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocabulary)
-        for batch in batches:
-            ids = [coder.code(words(t))[0].astype(np.int16).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        if not loaded:
+            voc, table = pickle.loads(sent.value)
+            loaded[0] = voc, Lookup(voc, table)
+        voc, look = loaded[0]
+        end_base = float(voc.base(n_docs))
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                ids, rows, tail = [], [], []
+                for uid, t in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                    own = words(t.as_py())
+                    places = look.code(own)
+                    far = Counter([own[j] for j in np.flatnonzero(places >= look.known)])
+                    ids.append(look.input[places].tobytes())
+                    rows.append((len(own) + 1, len(own) - far.total() + int(n_docs > 0), end_base + float(look.base[places].sum()), float(look.inside[places].sum())))
+                    tail += [(uid, w.decode(), look[w] - look.known, k) for w, k in far.items()]
+                none, size = len(tail), batch.num_rows
+                head = [*batch.columns[:3], *(pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(4)), pa.array(ids, pa.binary()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())]
+                yield pa.RecordBatch.from_arrays(head, names)
+                if none:
+                    rest = [pa.array([x[0] for x in tail], pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([x[1] for x in tail], pa.string()), pa.array([x[2] for x in tail], pa.int32()), pa.array([x[3] for x in tail], pa.int64())], names)
+
+    names = [c.split()[0] for c in CODED.split(", ")]
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(run, CODED)
+
 
-    # the text counts as well, so that rows with one doc_id (or none) spread
-    found = training.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary").withColumn("key", F.xxhash64(F.lit(17), "doc_id", "ids"))
+def dealt(training: DataFrame, rounds: int, shards: int) -> DataFrame:
+    """(round, shard, key, ids) of coded training texts: where each is trained on."""
+    # the inputs count as well, so that rows with one doc_id (or none) spread
+    found = training.select(F.xxhash64(F.lit(17), "doc_id", "ids").alias("key"), "ids")
     place = F.pmod(F.xxhash64(F.lit(18), "key"), F.lit(rounds * shards)).cast("int")
     return found.select(F.floor(place / shards).cast("int").alias("round"), (place % shards).alias("shard"), "key", "ids")
 
@@ -410,14 +485,12 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
 
 
 def trained_network(training: DataFrame, vocabulary: Vocabulary) -> bytes:
-    """The pickled network, trained on all texts of training."""
+    """The pickled network, trained on all coded texts of training (doc_id, ids)."""
     spark = training.sparkSession
     net = Network(vocabulary)
     rounds = max(1, min(ROUNDS, -(-vocabulary.n // SHARD)))
     shards = max(1, -(-vocabulary.n // (rounds * SHARD)))
-    coded = Kept(coded_texts(training, vocabulary, rounds, shards), "round")
-    class_of = np.concatenate([np.pad(vocabulary.cls, (0, SHORT - len(vocabulary.cls))), CLASSES + np.arange(REST)])
-    end = vocabulary.end
+    class_of, end = class_table(vocabulary), vocabulary.end
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(pickle.dumps(net))
 
@@ -426,28 +499,27 @@ def trained_network(training: DataFrame, vocabulary: Vocabulary) -> bytes:
 
             def fitted() -> pa.RecordBatch:
                 fresh, tokens = pickle.loads(sent.value), np.concatenate(own)
-                fresh.train(tokens.astype(np.int64), class_of[tokens], end, k / rounds, (k + 1) / rounds)
+                fresh.train(tokens, class_of[tokens], end, k / rounds, (k + 1) / rounds)
                 pieces = np.array_split(fresh.flat(), PIECES)
                 return pa.RecordBatch.from_pydict({"shard": pa.array([at] * PIECES, pa.int32()), "part": pa.array([part] * PIECES, pa.int32()), "piece": pa.array(range(PIECES), pa.int32()), "weight": pa.array([len(tokens)] * PIECES, pa.int64()), "value": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
             for batch in batches:
-                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     # a shard that is far longer than the others is trained in parts
                     if own and (shard != at or size > 4 * SHARD):
                         yield fitted()
                         part, own, size = (part + 1 if shard == at else 0), [], 0
                     at = shard
-                    own.append(np.frombuffer(ids, np.int16))
+                    own.append(np.append(np.frombuffer(ids.as_py(), np.uint16), np.uint16(end)))
                     size += len(own[-1])
             if own:
                 yield fitted()
 
-        texts = coded.df.where(F.col("round") == k).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
+        texts = dealt(training, rounds, shards).where(F.col("round") == k).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "ids").select("shard", "ids")
         found = averaged(texts.mapInArrow(run, "shard int, part int, piece int, weight long, value binary"))
         if found is not None:
             net.load(found)
         sent.destroy()
-    coded.drop()
     return pickle.dumps(net)
 
 
@@ -466,46 +538,31 @@ def lm_scores(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) ->
     rest = counts.df.join(F.broadcast(short), "word", "left_anti").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"))
     inside = {r.cls: ((r.n1 + 0.5) / (r.n1 + 2 * r.n2 + 1.0), float(r.c), float(r.k)) for r in rest.collect()}
     vocabulary = Vocabulary([(w, c) for w, c, _ in top], n_docs, inside, n, v)
-    net = trained_network(training, vocabulary)
-    sent = spark.sparkContext.broadcast(pickle.dumps((vocabulary, net, top)))
-    loaded: dict[int, tuple] = {}
+    # written once: the numbers of rows hold for both kinds of rows in it
+    coded = Kept(coded_texts(docs, vocabulary, top, n_docs))
+    texts = coded.df.where("word IS NULL")
+    net = trained_network(texts.where("NOT held_out").select("doc_id", "ids"), vocabulary)
+    sent = spark.sparkContext.broadcast(net)
+    class_of, end = class_table(vocabulary), vocabulary.end
+    loaded: dict[int, Network] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            voc, raw, table = pickle.loads(sent.value)
-            loaded[0] = voc, pickle.loads(raw), Lookup(voc, table)
-        voc, network, look = loaded[0]
-        end_base = float(voc.base(n_docs))
+        network = loaded.get(0) or loaded.setdefault(0, pickle.loads(sent.value))
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                coded, rows, tail = [], [], []
-                for uid, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    own = words(t)
-                    ids = np.fromiter(map(look.__getitem__, own), dtype=np.int32, count=len(own))
-                    coded.append((np.append(look.input[ids], voc.end), np.append(look.cls[ids], voc.cls[voc.end])))
-                    far = Counter([own[j] for j in np.flatnonzero(ids >= look.known)])
-                    rows.append((len(own) + 1, len(own) - far.total() + int(n_docs > 0), end_base + float(look.base[ids].sum()), float(look.inside[ids].sum())))
-                    tail += [(uid, w.decode(), look[w] - look.known, k) for w, k in far.items()]
-                score = network.score(coded, voc.end) / np.log(10) + np.array([r[3] for r in rows])
-                none = len(tail)
-                size = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([batch.column(0), pa.array([x[0] for x in tail], pa.int64())]), pa.concat_arrays([batch.column(1), pa.nulls(none, pa.int64())]), pa.concat_arrays([batch.column(2), pa.nulls(none, pa.bool_())]),
-                     pa.array([r[0] for r in rows] + [None] * none, pa.int64()), pa.array([r[1] for r in rows] + [None] * none, pa.int64()), pa.array([r[2] for r in rows] + [None] * none, pa.float64()), pa.array([*score.tolist(), *[None] * none], pa.float64()),
-                     pa.array([None] * size + [x[1] for x in tail], pa.string()), pa.array([None] * size + [x[2] for x in tail], pa.int32()), pa.array([None] * size + [x[3] for x in tail], pa.int64())],
-                    ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "cls", "times"])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
-    # written once: the numbers of rows hold for both kinds of rows in it
-    scored = Kept(numbered.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, cls int, times long"))
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                found = network.score([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(7)], class_of, end) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found + np.asarray(batch.column(6)))], names)
+
+    names = [c.split()[0] for c in CODED.split(", ")[:7]]
+    scored = texts.select(*names, "ids").mapInArrow(run, ", ".join(CODED.split(", ")[:7]))
     constants = [vocabulary.rest.get(k, (0.5, 0.0, 0.0)) for k in range(REST)]
     discount, total, kinds = (F.get(F.array(*(F.lit(float(x[j])) for x in constants)), F.col("cls")) for j in range(3))
     c = F.coalesce(F.col("c"), F.lit(0))
     own_base = F.log10((c + 0.1) / F.lit(float(n + 0.1 * (v + 1))))
     inside_class = F.when(total > 0, F.log10(F.when(c > 0, (c - discount) / total).otherwise(discount * kinds / total))).otherwise(0.0)
-    far = scored.df.where("word IS NOT NULL").select("uid", "word", "cls", "times").join(counts.df.select("word", "c"), "word", "left")
+    far = coded.df.where("word IS NOT NULL").select("uid", "word", "cls", "times").join(counts.df.select("word", "c"), "word", "left")
     far = far.groupBy("uid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * own_base).alias("base"), F.sum(F.col("times") * inside_class).alias("inside"))
-    out = scored.df.where("word IS NULL").drop("word", "cls", "times").join(far, "uid", "left")
+    out = scored.join(far, "uid", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "inside"))

@@ -34,11 +34,13 @@ def test_each_text_is_in_one_shard_and_all_tokens_weigh(spark, monkeypatch):
     n = sum(len(t.split()) + 1 for _, t in rows)
     v = lm_score.Vocabulary([(f"w{k}", 60 - k) for k in range(50)], len(rows), {}, n, 51)
     shards = -(-n // (lm_score.ROUNDS * 500))
-    got = lm_score.coded_texts(df, v, lm_score.ROUNDS, shards).collect()
+    top = [(f"w{k}", 60 - k, lm_score.rest_class(b"w1")) for k in range(50)]
+    docs = df.withColumn("held_out", F.lit(False))
+    coded = lm_score.coded_texts(docs, v, top, len(rows)).where("word IS NULL")
+    got = lm_score.dealt(coded, lm_score.ROUNDS, shards).collect()
     assert {x.round for x in got} == set(range(lm_score.ROUNDS)) and {x.shard for x in got} == set(range(shards))
-    code = lm_score.Coder(v).code
-    assert Counter(bytes(x.ids) for x in got) == Counter(code(lm_score.words(t))[0].astype(np.int16).tobytes() for _, t in rows)
-    net, again = (lm_score.pickle.loads(lm_score.trained_network(df, v)) for _ in range(2))
+    assert Counter(bytes(x.ids) for x in got) == Counter(np.array([v.index[w] for w in lm_score.words(t)], np.uint16).tobytes() for _, t in rows)
+    net, again = (lm_score.pickle.loads(lm_score.trained_network(coded.select("doc_id", "ids"), v)) for _ in range(2))
     assert np.array_equal(net.flat(), again.flat()) and not np.array_equal(net.flat(), lm_score.Network(v).flat())
 
 
@@ -47,3 +49,50 @@ def test_parameters_are_averaged_by_weight(spark):
     rows = [(s, 0, p, w, bytearray((part * (s + 1)).tobytes())) for s, w in ((0, 10), (1, 30)) for p, part in enumerate(np.array_split(x, lm_score.PIECES))]
     df = spark.createDataFrame(rows, "shard int, part int, piece int, weight long, value binary").repartition(3)
     assert np.allclose(lm_score.averaged(df), x * 1.75)
+
+
+def test_a_repeated_text_is_learned():
+    v = lm_score.Vocabulary([(f"w{k}", 60 - k) for k in range(50)], 9, {k: (0.5, 9.0, 3.0) for k in range(lm_score.REST)}, 900, 60)
+    ids = np.random.default_rng(3).integers(0, 50, 400).astype(np.uint16)
+    cls = lm_score.class_table(v)
+    nets = [lm_score.Network(v) for _ in range(2)]
+    before = nets[0].score([ids], cls, v.end)[0]
+    tokens = np.append(ids, np.uint16(v.end))
+    nets[0].train(np.tile(tokens, 40), cls[np.tile(tokens, 40)], v.end)
+    assert nets[0].score([ids], cls, v.end)[0] > 0.5 * before
+
+
+def test_states_are_carried_and_lengths_do_not_matter(monkeypatch):
+    v = lm_score.Vocabulary([(f"w{k}", 60 - k) for k in range(50)], 9, {k: (0.5, 9.0, 3.0) for k in range(lm_score.REST)}, 900, 60)
+    net, cls, r = lm_score.Network(v), lm_score.class_table(v), np.random.default_rng(1)
+    net.load(net.flat() * 3)  # logits that need their greatest taken off
+    texts = [r.integers(0, 50, n).astype(np.uint16) for n in (0, 1, 31, 32, 33, 100, 1000, 5)]
+    one = []
+    for t in texts:
+        h, total, last = np.zeros((1, lm_score.HIDDEN), np.float32), 0.0, v.end
+        for y in [*t.tolist(), v.end]:
+            h = net.step(h, (net.p["E"] + net.p["b"])[[last]])[0]
+            total += net.outputs(h, cls[[y]], np.array([y]))[0][0]
+            last = y
+        one.append(total)
+    monkeypatch.setattr(lm_score, "GROUP", 3)
+    assert np.allclose(net.score(texts, cls, v.end), one, rtol=1e-4)
+
+
+def test_a_text_of_a_million_words_takes_the_memory_of_a_window():
+    import tracemalloc
+
+    v = lm_score.Vocabulary([(f"w{k}", 60 - k) for k in range(50)], 9, {}, 900, 60)
+    net, cls = lm_score.Network(v), lm_score.class_table(v)
+    texts = [np.zeros(200_000, np.uint16), *(np.zeros(30, np.uint16) for _ in range(511))]
+    tracemalloc.start()
+    got = net.score(texts, cls, v.end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and peak < 60e6
+
+
+def test_forms_agree_in_python_and_spark(spark):
+    found = [w for w in ["a", "b1", "ñ", "x.", "y,", "z!", "é9", "日本。", "1", "-", "ü."]]
+    got = spark.createDataFrame([(w,) for w in found], "word string").select("word", lm_score.rest_class_of(F.col("word")).alias("k")).collect()
+    assert {r.word: r.k for r in got} == {w: lm_score.rest_class(w.encode()) for w in found}

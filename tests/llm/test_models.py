@@ -21,6 +21,7 @@ def test_gradients_match_differences():
     net = lm_score.Network(v)
     r = np.random.default_rng(0)
     net.p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    net.p["C"] += r.standard_normal(net.p["C"].shape)
     h = r.standard_normal((7, lm_score.HIDDEN))
     word = r.integers(0, 50, 7)
     cls = v.cls[word]
