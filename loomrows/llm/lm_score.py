@@ -213,21 +213,23 @@ class Network:
         self.__dict__ |= state
         self.p = self.views(self.row)
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step from states h and input rows x of E."""
+    def step(self, h: np.ndarray, x: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """One step from states h and input rows x of E: the new states, both
+        gates, the candidate and its part of h @ U. ``into``: where they go."""
         k = HIDDEN
         u = h @ self.p["U"]
-        zr = x[:, : 2 * k] + u[:, : 2 * k]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        z, r = zr[:, :k], zr[:, k:]
-        un = u[:, 2 * k :]
-        n = r * un
+        new, z, r, n, un = into or tuple(np.empty(h.shape, u.dtype) for _ in range(5))
+        for gate, at in ((z, 0), (r, k)):
+            np.add(x[:, at : at + k], u[:, at : at + k], out=gate)
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+        un[:] = u[:, 2 * k :]
+        np.multiply(r, un, out=n)
         n += x[:, 2 * k :]
         np.tanh(n, out=n)
-        new = h - n
+        np.subtract(h, n, out=new)
         new *= z
         new += n
         return new, z, r, n, un
@@ -294,17 +296,15 @@ class Network:
                 x = x_all[begin : begin + STEPS]
                 y, yc = y_all[begin : begin + STEPS].ravel(), c_all[begin : begin + STEPS].ravel()
                 grad[:] = 0
-                tape = np.empty((5, len(x), lanes, k), np.float32)
-                states = []
-                for j, at in enumerate(x):
-                    rows = p["E"][at]
-                    rows += p["b"]
-                    new, *kept = self.step(h, rows)
-                    for into, value in zip(tape[:, j], (h, *kept), strict=True):
-                        into[:] = value
-                    states.append(new)
-                    h = new
-                flat = np.concatenate(states)
+                steps = len(x)
+                rows = (p["E"] + p["b"])[x]
+                # states[j] is the state before step j
+                states, tape = np.empty((steps + 1, lanes, k), np.float32), np.empty((4, steps, lanes, k), np.float32)
+                states[0] = h
+                for j in range(steps):
+                    self.step(states[j], rows[j], (states[j + 1], *tape[:, j]))
+                h = states[steps].copy()
+                flat = states[1:].reshape(-1, k)
                 real = y >= 0
                 if real.all():
                     _, dflat = self.outputs(flat, yc, y, g)
@@ -312,25 +312,31 @@ class Network:
                     dflat = np.zeros_like(flat)
                     if real.any():
                         dflat[real] = self.outputs(flat[real], yc[real], y[real], g)[1]
-                prev, z, r, n, un = tape
-                # what the gradient of a state is multiplied by, for all steps at once
-                by_n = (1 - z) * (1 - n * n)
-                by_z, by_r = (prev - n) * z * (1 - z), by_n * un * r * (1 - r)
-                by_u = by_n * r
-                moves, pulls = (np.empty((len(x), lanes, 3 * k), np.float32) for _ in range(2))
+                (z, r, n, un), prev = tape, states[:-1]
+                # what the gradient of a state is multiplied by, for all steps
+                # at once: for both gates, the candidate's part of h @ U, the candidate
+                by = np.empty((steps, lanes, 4, k), np.float32)
+                off = 1 - z
+                by_n = n * n
+                np.subtract(1, by_n, out=by_n)
+                by_n *= off
+                by[:, :, 3] = by_n
+                np.multiply(by_n, r, out=by[:, :, 2])
+                by_n *= un
+                by_n *= r
+                np.multiply(by_n, 1 - r, out=by[:, :, 1])
+                off *= z
+                np.multiply(off, prev - n, out=by[:, :, 0])
                 dh = np.zeros_like(h)
-                for j in range(len(x) - 1, -1, -1):
+                for j in range(steps - 1, -1, -1):
                     dh += dflat[j * lanes : (j + 1) * lanes]
-                    du = pulls[j]
-                    np.multiply(dh, by_z[j], out=du[:, :k])
-                    np.multiply(dh, by_r[j], out=du[:, k : 2 * k])
-                    np.multiply(dh, by_u[j], out=du[:, 2 * k :])
-                    np.multiply(dh, by_n[j], out=moves[j][:, 2 * k :])
+                    by[j] *= dh[:, None]
                     dh *= z[j]
-                    dh += du @ p["U"].T
-                moves[:, :, : 2 * k] = pulls[:, :, : 2 * k]
-                g["U"] += prev.reshape(-1, k).T @ pulls.reshape(-1, 3 * k)
-                dx, at = moves.reshape(-1, 3 * k), x.ravel()
+                    dh += by[j].reshape(lanes, 4 * k)[:, : 3 * k] @ p["U"].T
+                by = by.reshape(-1, 4 * k)
+                g["U"] += prev.reshape(-1, k).T @ by[:, : 3 * k]
+                by[:, 2 * k : 3 * k] = by[:, 3 * k :]
+                dx, at = by[:, : 3 * k], x.ravel()
                 order = np.argsort(at.astype(np.int16), kind="stable")
                 first = np.flatnonzero(np.diff(at[order], prepend=-1))
                 g["E"][at[order[first]]] = np.add.reduceat(dx[order], first)
@@ -422,7 +428,7 @@ CODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, b
 def coded_texts(docs: DataFrame, vocabulary: Vocabulary, top: list[tuple[str, int, int]], n_docs: int) -> DataFrame:
     """A row for each row of docs (doc_id, text, held_out), with its inputs and
     with the parts of the scores that the frequent tokens give; and a row
-    (uid, word, cls, times) for each other word of it."""
+    (uid, word, cls, times) for each other token of it."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, top)))
     loaded: dict[int, tuple] = {}
 
@@ -435,20 +441,22 @@ def coded_texts(docs: DataFrame, vocabulary: Vocabulary, top: list[tuple[str, in
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                ids, rows, tail = [], [], []
-                for uid, t in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                ids, rows, tail, kinds, far = [], [], [], [], []
+                for t in batch.column(3):
                     own = words(t.as_py())
                     places = look.code(own)
-                    far = Counter([own[j] for j in np.flatnonzero(places >= look.known)])
+                    rare = np.flatnonzero(places >= look.known)
+                    tail += [own[j] for j in rare]
+                    kinds.append(places[rare] - look.known)
+                    far.append(len(rare))
                     ids.append(look.input[places].tobytes())
-                    rows.append((len(own) + 1, len(own) - far.total() + int(n_docs > 0), end_base + float(look.base[places].sum()), float(look.inside[places].sum())))
-                    tail += [(uid, w.decode(), look[w] - look.known, k) for w, k in far.items()]
+                    rows.append((len(own) + 1, len(own) - len(rare) + int(n_docs > 0), end_base + float(look.base[places].sum()), float(look.inside[places].sum())))
                 none, size = len(tail), batch.num_rows
                 head = [*batch.columns[:3], *(pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(4)), pa.array(ids, pa.binary()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())]
                 yield pa.RecordBatch.from_arrays(head, names)
                 if none:
-                    rest = [pa.array([x[0] for x in tail], pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array([x[1] for x in tail], pa.string()), pa.array([x[2] for x in tail], pa.int32()), pa.array([x[3] for x in tail], pa.int64())], names)
+                    rest = [pa.array(np.repeat(np.asarray(batch.column(0)), far)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(tail, pa.binary()).cast(pa.string()), pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.ones(none, np.int64))], names)
 
     names = [c.split()[0] for c in CODED.split(", ")]
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(run, CODED)
