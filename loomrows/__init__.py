@@ -1,6 +1,6 @@
 """Row pattern recognition and training-data operators on PySpark."""
 
-from .api import match_recognize, run_clause
+from .api import formatted, match_recognize, run_clause
 from .plans.ast import QueryError
 
-__all__ = ["QueryError", "match_recognize", "run_clause"]
+__all__ = ["QueryError", "formatted", "match_recognize", "run_clause"]

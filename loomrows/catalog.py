@@ -184,12 +184,71 @@ ENTRIES["conversation_turns"] = Entry(
     "WITH {} SELECT conv_id, arg_min(turn, rn) AS first_turn, count(*) FILTER (WHERE lab = 'A') AS pairs FROM r GROUP BY conv_id, match_no".format(spelled("(?:UA)+", "CASE role WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE 'N' END", "conversations", "conv_id", "turn")),
 )
 
+# functions of measures, conditions and keys
+
+R3 = "round_even({} * 1000 + 0.0137, 0) AS {}"
+M3 = "ROUND({} * 1000 + 0.0137) AS {}"
+
+
+def rounded(pairs: dict[str, tuple[str, str]]) -> tuple[str, str]:
+    """Measures and oracle columns from name: (measure, SQL), in thousandths."""
+    return "; ".join(M3.format(m, n) for n, (m, _) in pairs.items()), ", ".join(R3.format(q, n) for n, (_, q) in pairs.items())
+
+
+_A, _B = "arg_min(event_id, rn)", "arg_max(event_id, rn)"
+one("moments_and_means", "V (C | P | E){2,}", "V[CPE]{2,}", *rounded({
+    "sd": ("STDDEV(event_id % 7)", "stddev_samp(event_id % 7)"), "sdp": ("STDDEV_POP(event_id % 7)", "stddev_pop(event_id % 7)"), "v1": ("VARIANCE(event_id % 7)", "var_samp(event_id % 7)"), "v2": ("VAR_SAMP(event_id % 7)", "var_samp(event_id % 7)"), "v3": ("VAR(event_id % 7)", "var_samp(event_id % 7)"),
+    "q1": ("PERCENTILE_APPROX(event_id % 7, 0.25)", "quantile_cont(event_id % 7, 0.25)"), "gm": ("GEOMETRIC_MEAN(event_id % 7 + 1)", "exp(avg(ln(event_id % 7 + 1)))"), "hm": ("HARMONIC_MEAN(event_id % 7 + 1)", "count(*) / sum(1.0::DOUBLE / (event_id % 7 + 1))"),
+    "cv": ("COVAR(event_id % 7, event_id % 5)", "covar_samp(event_id % 7, event_id % 5)"), "cr": ("CORR(event_id % 7, event_id % 5)", "CASE WHEN count(DISTINCT event_id % 7) > 1 AND count(DISTINCT event_id % 5) > 1 THEN corr(event_id % 7, event_id % 5) END"),
+}), "VCPE")
+one("choosing_aggregates", "V (C | P | E){1,4}", "V[CPE]{1,4}", "COUNT_DISTINCT(event_type) AS kinds; ARBITRARY(event_type) AS some; AVG_IF(event_id, event_type = 'purchase') AS bought; LAG(event_id) AS lg; LEAD(event_id) AS ld; LEAD(event_id, 50, -1) AS far; LAG(event_id, 4) AS l4; FIRST_VALUE(event_type) OVER (ORDER BY event_id DESC) AS fv; LAST_VALUE(event_id) OVER (ORDER BY event_id) AS lv; IF(LAST(event_id) > FIRST(event_id), 'up', 'down') AS way; SUM_IF(event_id, event_type = 'none') AS none; COUNT_IF(event_id % 2 = 0) AS even",
+    f"count(DISTINCT event_type) AS kinds, arg_min(event_type, rn) AS some, avg(event_id) FILTER (event_type = 'purchase') AS bought, arg_min(event_id, rn) FILTER (rn = b - 1) AS lg, arg_min(event_id, rn) FILTER (rn = a + 1) AS ld, CAST(-1 AS BIGINT) AS far, arg_min(event_id, rn) FILTER (rn = b - 4) AS l4, arg_max(event_type, event_id) AS fv, max(event_id) AS lv, CASE WHEN {_B} > {_A} THEN 'up' ELSE 'down' END AS way, CAST(NULL AS BIGINT) AS none, count(*) FILTER (event_id % 2 = 0) AS even", "VCPE")
+_X = "(FIRST(event_id) % 11 + 1)", "(arg_min(event_id, rn) % 11 + 1)"
+one("mathematics", "V C", "VC", *(a + b for a, b in zip(rounded({f.lower(): (f"{f}({_X[0]})", f"{q or f}({_X[1]})") for f, q in (("EXP", ""), ("LN", ""), ("LOG10", ""), ("SQRT", ""), ("SIN", ""), ("COS", ""), ("TAN", ""), ("ATAN", ""), ("DEGREES", ""), ("RADIANS", ""))} | {
+    "lg": (f"LOG({_X[0]})", f"log10({_X[1]})"), "lg2": (f"LOG({_X[0]}, 2)", f"log2({_X[1]})"), "asn": (f"ASIN({_X[0]} / 12)", f"asin({_X[1]} / 12)"), "acs": (f"ACOS({_X[0]} / 12)", f"acos({_X[1]} / 12)"), "at2": (f"ATAN2({_X[0]}, 3)", f"atan2({_X[1]}, 3)"),
+}), ("; POWER(FIRST(event_id) % 5, 3) AS cube; CEIL(FIRST(event_id) / 2) AS up; CEILING(FIRST(event_id) / 3) AS up3; FLOOR(LAST(event_id) / 2) AS down; TRUNCATE(LAST(event_id) / 8, 1) AS cut; SIGN(FIRST(event_id) - LAST(event_id)) AS sg; ROUND(FIRST(event_id) / 8, 1) AS near; FIRST(event_id) ** 2 AS sq; LAST(event_id) // 7 AS whole; FIRST(event_id) & 6 | 1 << 3 AS bits", f", CAST(pow({_A} % 5, 3) AS BIGINT) AS cube, CAST(ceil({_A} / 2) AS BIGINT) AS up, CAST(ceil({_A} / 3) AS BIGINT) AS up3, CAST(floor({_B} / 2) AS BIGINT) AS down, trunc({_B} / 8 * 10) / 10 AS cut, CAST(sign({_A} - {_B}) AS BIGINT) AS sg, round_even({_A} / 8, 1) AS near, {_A} * {_A} AS sq, {_B} // 7 AS whole, ({_A} & 6) | 8 AS bits"))), "VC")
+one("text_functions", "V (C | P)", "V[CP]", "TRIM('  ' || LAST(event_type) || ' ') AS t; LTRIM('  x ') AS lt; RTRIM(' x  ') AS rt; REPLACE(LAST(event_type), 'c', '_') AS rp; LEFT(LAST(event_type), 2) AS lf; RIGHT(LAST(event_type), 3) AS rg; CONCAT(FIRST(event_type), '-', LAST(event_type)) AS cc; CONCAT_WS('/', FIRST(event_type), LAST(event_type)) AS cw; SUBSTRING(LAST(event_type), -3) AS tl; LEAST(FIRST(event_type), LAST(event_type)) AS le; CONCAT_WS('', ARRAY_AGG(CLASSIFIER())) AS word",
+    "arg_max(event_type, rn) AS t, 'x ' AS lt, ' x' AS rt, replace(arg_max(event_type, rn), 'c', '_') AS rp, left(arg_max(event_type, rn), 2) AS lf, right(arg_max(event_type, rn), 3) AS rg, arg_min(event_type, rn) || '-' || arg_max(event_type, rn) AS cc, arg_min(event_type, rn) || '/' || arg_max(event_type, rn) AS cw, right(arg_max(event_type, rn), 3) AS tl, least(arg_min(event_type, rn), arg_max(event_type, rn)) AS le, string_agg(lab, '' ORDER BY rn) AS word", "VCP")
+one("conversions", "V C+", "VC+", "TRY_CAST(FIRST(event_type) AS BIGINT) AS bad; CAST('12' AS INTEGER) + LAST(event_id) AS n; CAST(FIRST(event_id) AS DOUBLE) / 2 AS half; CAST(LAST(event_id) AS VARCHAR) AS txt; CAST(FIRST(ts) AS DATE) AS day; ISFINITE(LAST(event_id) / 2) AS fin; ISNAN(LAST(event_id) / 2) AS nan; ISINF(LAST(event_id) / 2) AS inf; ARRAY[FIRST(event_id), LAST(event_id)] AS ends; ISREAL(1.5) AS re",
+    f"CAST(NULL AS BIGINT) AS bad, 12 + {_B} AS n, {_A} / 2 AS half, CAST({_B} AS VARCHAR) AS txt, CAST(arg_min(ts, rn) AS DATE) AS day, true AS fin, false AS nan, false AS inf, [{_A}, {_B}] AS ends, true AS re", "VC")
+one("dates", "V C+", "VC+", "YEAR(FIRST(ts)) AS y; EXTRACT(MONTH FROM LAST(ts)) AS mo; EXTRACT(DAY FROM LAST(ts)) AS d; HOUR(LAST(ts)) AS h; EXTRACT(MINUTE FROM LAST(ts)) AS mi; SECOND(FIRST(ts)) AS s; NOW() > FIRST(ts) AS past; CURRENT_TIMESTAMP > LAST(ts) AS past2; CURRENT_DATE > CAST(FIRST(ts) AS DATE) AS past3; LENGTH(CURRENT_TIME) > 4 AS clock",
+    ", ".join(f"CAST({part}(arg_{end}(ts, rn)) AS BIGINT) AS {n}" for part, end, n in (("year", "min", "y"), ("month", "max", "mo"), ("day", "max", "d"), ("hour", "max", "h"), ("minute", "max", "mi"), ("second", "min", "s"))) + ", true AS past, true AS past2, true AS past3, true AS clock", "VC")
+every("references_in_rows", "V C+", "VC+", "", "FIRST(event_id * 2 + 1) AS fx; LAST(event_id, 99) AS far; RUNNING FIRST(event_id, 1) AS second_id; PREV(event_id, 500) AS before; RUNNING SUM(event_id) OVER (ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS pair", "VC", f"SELECT user_id, event_id, min_by(event_id, rn) {WHOLE} * 2 + 1 AS fx, CAST(NULL AS BIGINT) AS far, CASE WHEN rn > a THEN nth_value(event_id, 2) {RUN} END AS second_id, CAST(NULL AS BIGINT) AS before, CAST(event_id + coalesce(lag(event_id) {RUN}, 0) AS BIGINT) AS pair FROM r")
+one("nested_permute", "PERMUTE(V, PERMUTE(C, P))", "VCP|VPC|CPV|PCV", SPAN + "; CLASSIFIER() AS last_label", SPAN_SQL + ", arg_max(lab, rn) AS last_label", "VCP")
+ENTRIES["patterns_of_text"] = Entry(
+    "events",
+    f"SELECT m.user_id, m.first_id, m.n FROM events MATCH_RECOGNIZE ({BY} MEASURES FIRST(event_id) AS first_id, COUNT(*) AS n PATTERN (A B+) DEFINE A AS event_type LIKE 'v%' AND event_id NOT IN (), B AS B.event_type LIKE '%l_ck' AND LAG(event_type) LIKE '%i%' AND NOT (event_id IN ())) AS m",
+    f"WITH {spelled('VC+')} SELECT user_id, arg_min(event_id, rn) AS first_id, count(*) AS n FROM r GROUP BY user_id, match_no",
+)
+ENTRIES["lag_and_lead_in_conditions"] = Entry(
+    "events",
+    f"SELECT m.user_id, m.event_id FROM events MATCH_RECOGNIZE ({BY} MEASURES CLASSIFIER() AS c ALL ROWS PER MATCH PATTERN (A) DEFINE A AS LAG(event_type, 2, 'none') = 'none' AND LEAD(event_type) = 'click' OR LAG(event_type) = 'signup' AND LEAD(event_id, 3) IS NULL) AS m",
+    "SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_type, 2, 'none') OVER w AS p2, lead(event_type) OVER w AS n1, lag(event_type) OVER w AS p1, lead(event_id, 3) OVER w AS n3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE p2 = 'none' AND n1 = 'click' OR p1 = 'signup' AND n3 IS NULL",
+)
+ENTRIES["alternative_of_nothing"] = Entry(
+    "events",
+    f"SELECT m.user_id, m.match_no, m.n, m.c FROM events MATCH_RECOGNIZE ({BY} MEASURES MATCH_NUMBER() AS match_no, COUNT(*) AS n, CLASSIFIER() AS c PATTERN (V | ()) DEFINE {define('V')}) AS m",
+    f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS match_no, CAST(event_type = 'view' AS BIGINT) AS n, CASE WHEN event_type = 'view' THEN 'V' END AS c FROM events",
+)
+ENTRIES["empty_loops"] = Entry("events", f"SELECT m.user_id, m.first_id, m.n FROM events MATCH_RECOGNIZE ({BY} MEASURES FIRST(event_id) AS first_id, COUNT(*) AS n PATTERN (V (C* | ())* P) DEFINE {define('V', 'C', 'P')}) AS m", f"WITH {spelled('VC*P')} SELECT user_id, arg_min(event_id, rn) AS first_id, count(*) AS n FROM r GROUP BY user_id, match_no")
+ENTRIES["case_of_labels"] = Entry("events", f"SELECT m.user_id, m.event_id, m.label FROM events MATCH_RECOGNIZE ({BY} MEASURES CLASSIFIER() AS label ALL ROWS PER MATCH PATTERN (v \"c\"+ Ab) DEFINE v AS event_type = 'view', \"c\" AS event_type = 'click', Ab AS event_type = 'purchase') AS m", f"WITH {spelled('VC+P')} SELECT user_id, event_id, CASE lab WHEN 'V' THEN 'v' WHEN 'C' THEN 'c' ELSE 'Ab' END AS label FROM r")
+for name, order, key in (("nulls_first", "value % 3 NULLS FIRST, event_id", "value % 3 NULLS FIRST, event_id"), ("nulls_last", "value % 3 DESC NULLS LAST, event_id DESC", "value % 3 DESC NULLS LAST, event_id DESC")):
+    ENTRIES[name] = Entry("events", f"SELECT m.user_id, m.first_id, m.last_id, m.n FROM events MATCH_RECOGNIZE (PARTITION BY user_id ORDER BY {order} MEASURES FIRST(event_id) AS first_id, LAST(event_id) AS last_id, COUNT(*) AS n PATTERN (V+ C) DEFINE {define('V', 'C')}) AS m".replace("value % 3", "COALESCE(NULL_VALUE, NULL_VALUE)"), "WITH nv AS (SELECT *, CASE WHEN event_id % 4 > 0 THEN event_id % 3 END AS null_value FROM events), {} SELECT user_id, arg_min(event_id, rn) AS first_id, arg_max(event_id, rn) AS last_id, count(*) AS n FROM r GROUP BY user_id, match_no".format(spelled("V+C", order=key.replace("value % 3", "null_value"), table="nv")))
+ENTRIES["where_and_limit"] = Entry("events", f"SELECT DISTINCT m.user_id, m.n, m.first_id FROM events MATCH_RECOGNIZE ({BY} MEASURES COUNT(*) AS n, FIRST(event_id) AS first_id, LAST(event_type) AS kind PATTERN (V+ (C | P)+) DEFINE {define('V', 'C', 'P')}) AS m WHERE m.n > 2 AND kind LIKE 'cl%' ORDER BY n DESC, first_id LIMIT 25", f"WITH {spelled('V+[CP]+')} SELECT user_id, count(*) AS n, arg_min(event_id, rn) AS first_id FROM r GROUP BY user_id, match_no HAVING count(*) > 2 AND arg_max(event_type, rn) LIKE 'cl%' ORDER BY n DESC, first_id LIMIT 25")
+ENTRIES["long_overlapping_matches"] = Entry(
+    "events",
+    f"SELECT m.user_id, m.first_id, m.last_id, m.n FROM events MATCH_RECOGNIZE ({BY} MEASURES FIRST(event_id) AS first_id, LAST(event_id) AS last_id, COUNT(*) AS n AFTER MATCH SKIP TO NEXT ROW PATTERN (A+) DEFINE A AS event_id >= 0) AS m",
+    "SELECT user_id, event_id AS first_id, last_value(event_id) OVER w AS last_id, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+)
+
 
 def _query(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.read.parquet(f"{sf_dir}/{entry.table}.parquet") if entry.table else None
         if "l_comment_missing" in entry.sql:
             df = df.withColumn("l_comment_missing", F.lit(None).cast("string"))
+        if "NULL_VALUE" in entry.sql:
+            df = df.withColumn("null_value", F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 3))
         out = match_recognize(entry.sql, df, spark)
         return entry.after(out) if entry.after else out
 

@@ -69,6 +69,8 @@ def to_column(e: Expr, local: Local, shift: int = 0) -> Column | None:
         return c
     if isinstance(e, Op):
         args = [sub(a) for a in e.args]
+        if e.name == "LIKE" and isinstance(e.args[1], Lit) and isinstance(e.args[1].value, str) and args[0] is not None:
+            return args[0].like(e.args[1].value.replace("\\", "\\\\"))
         if any(a is None for a in args):
             return None
         return _operator(e.name, args)
@@ -129,7 +131,9 @@ def _operator(name: str, a: list[Column]) -> Column | None:
         return F.concat(a[0].cast("string"), a[1].cast("string"))
     if name == "**":
         return F.pow(a[0], a[1])
-    if name == "LIKE":
+    if name in ("LIKE", "<<", ">>"):
         return None
+    if name in ("&", "|", "^"):
+        return getattr(a[0], {"&": "bitwiseAND", "|": "bitwiseOR", "^": "bitwiseXOR"}[name])(a[1])
     ops = {"=": lambda: a[0] == a[1], "<>": lambda: a[0] != a[1], "<": lambda: a[0] < a[1], "<=": lambda: a[0] <= a[1], ">": lambda: a[0] > a[1], ">=": lambda: a[0] >= a[1], "+": lambda: a[0] + a[1], "-": lambda: a[0] - a[1], "*": lambda: a[0] * a[1]}
     return ops[name]() if name in ops else None

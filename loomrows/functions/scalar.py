@@ -114,6 +114,7 @@ def like(s, pattern):
 
 BINARY = {
     "+": _plain(operator.add), "-": _plain(operator.sub), "*": _plain(operator.mul), "/": _plain(operator.truediv), "//": _plain(operator.floordiv), "%": _plain(operator.mod), "**": _plain(operator.pow),
+    "&": _plain(operator.and_), "|": _plain(operator.or_), "^": _plain(operator.xor), "<<": _plain(operator.lshift), ">>": _plain(operator.rshift),
     "||": _plain(lambda a, b: a + b if isinstance(a, list) else _text(a) + _text(b)), "LIKE": _plain(like),
     "=": _compare(operator.eq), "<>": _compare(operator.ne), "<": _compare(operator.lt), "<=": _compare(operator.le), ">": _compare(operator.gt), ">=": _compare(operator.ge),
 }

@@ -386,7 +386,9 @@ class Compiler:
             return lambda fr, i: 0 if i is None else len(fr.labels) if final else min(i - fr.start + 1, len(fr.labels))
         if self.define and name in agg.INCREMENTAL and where is None and not order and not distinct and before is None:
             return self._running_total(name, args[0], own)
-        key, nulls_out = object(), name == "ARRAY_AGG"
+        key, told, nulls_out = object(), object(), name == "ARRAY_AGG"
+        if not self.define and name in agg.INCREMENTAL and not order and before is None and not distinct:
+            return self._kept_total(name, args[0], own, where, final)
 
         def rows_of(fr, stop):
             """Rows of the first stop labels, kept while a measure moves on."""
@@ -400,6 +402,13 @@ class Compiler:
             return rows
 
         def run(fr, i):
+            if final and i is not None and not self.define:  # one value for all rows of a match
+                if told not in fr.lists:
+                    fr.lists[told] = whole(fr, i)
+                return fr.lists[told]
+            return whole(fr, i)
+
+        def whole(fr, i):
             if i is None:
                 return 0 if name in ("COUNT", "COUNT_IF", "APPROX_DISTINCT", "COUNT_DISTINCT") else None
             stop = len(fr.labels) if final else min(i - fr.start + 1, len(fr.labels))
@@ -420,6 +429,45 @@ class Compiler:
 
         return run
 
+    def _kept_total(self, name: str, arg, own, where, final: bool):
+        """An aggregate of a measure, carried on from row to row of a match."""
+        key = object()
+
+        def add(total, x):
+            n, s, low, high = total
+            if name in ("SUM", "AVG"):
+                x = float(x) if isinstance(x, str) else x
+                return n + 1, x if n == 0 else s + x, None, None
+            if name == "COUNT":
+                return n + 1, None, None, None
+            if n == 0:
+                return 1, None, x, x
+            try:
+                return n + 1, None, min(low, x), max(high, x)
+            except TypeError:
+                return n + 1, None, min(str(low), str(x)), max(str(high), str(x))
+
+        def run(fr, i):
+            if i is None:
+                return 0 if name == "COUNT" else None
+            labels, stop = fr.labels, len(fr.labels) if final else min(i - fr.start + 1, len(fr.labels))
+            done, total = fr.lists.get(key, (0, (0, None, None, None)))
+            if stop < done:
+                done, total = 0, (0, None, None, None)
+            try:
+                for k in range(done, stop):
+                    if (own is None or labels[k] in own) and (where is None or where(fr, fr.start + k) is True):
+                        x = arg(fr, fr.start + k)
+                        if not is_null(x):
+                            total = add(total, x)
+            except (TypeError, ValueError, OverflowError):
+                return None
+            fr.lists[key] = stop, total
+            n, s, low, high = total
+            return n if name == "COUNT" else low if name == "MIN" else high if name == "MAX" else s if name == "SUM" or n == 0 else s / n
+
+        return run
+
     def _running_total(self, name: str, arg, own):
         """An aggregate of a condition, as totals by number of labels."""
         me = object()

@@ -166,7 +166,7 @@ class Kernel:
         self.scope = Scope(plan.columns, plan.labels, plan.sets)
         self.measures = [(Compiler(self.scope, False, final, explicit).value(e), name) for e, name, final, explicit in plan.measures]
         self.automaton = None
-        if not plan.stateful and c.skip[0] == "PAST" and not has(c.pattern, Anchor) and not has(c.pattern, Exclude) and not nullable(c.pattern) and len(plan.labels) < 60 and set(plan.masked) == set(plan.labels.values()):
+        if not plan.stateful and c.skip[0] in ("PAST", "NEXT") and not has(c.pattern, Anchor) and not has(c.pattern, Exclude) and not nullable(c.pattern) and len(plan.labels) < 60 and set(plan.masked) == set(plan.labels.values()):
             try:
                 self.automaton = Automaton(c.pattern, plan.labels)
             except PatternLimitError:
@@ -256,6 +256,8 @@ class Kernel:
 
     def _emit(self, table: pa.Table, found: Found, frames: list[Frame], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         c, measures = self.plan.clause, [f for f, _ in self.measures]
+        if c.rows == "SEEK":
+            return self._sought(table, found, frames, starts, ends)
         rows: list[int] = []
         values: list[list] = [[] for _ in measures]
         pending: list[tuple[int, int, list]] = []  # of unmatched rows
@@ -297,6 +299,26 @@ class Kernel:
                 v.append(None)
         return self._batch(table, np.array(rows, dtype=np.int64), values)
 
+    def _sought(self, table: pa.Table, found: Found, frames: list[Frame], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        """Every row with the measures of the first match that starts there or after it."""
+        n = table.num_rows
+        values: list[list] = [[] for _ in self.measures]
+        at = np.full(n, n, np.int64)
+        for number, s, g, labels in zip(found.number, found.start, found.group, found.labels, strict=True):
+            if not labels:
+                continue
+            fr = frames[g]
+            fr.begin(s, labels, number)
+            at[s] = len(values[0]) if values else 0
+            for (f, _), v in zip(self.measures, values, strict=True):
+                v.append(f(fr, s + len(labels) - 1))
+        # matches come in the order of their rows, so the next one has the least number
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            at[lo:hi] = np.minimum.accumulate(at[lo:hi][::-1])[::-1]
+        which = pa.array(at, mask=at == n)
+        kinds = list(self.plan.schema)[len(self.plan.output) :]
+        return self._batch(table, np.arange(n), [_array(v, f.type).take(which) for v, f in zip(values, kinds, strict=True)])
+
     def _batch(self, table: pa.Table, rows: np.ndarray, values: list) -> pa.RecordBatch:
         n = len(self.plan.output)
         taken = [table.column("c_" + name if "c_" + name in table.column_names else "o_" + name).take(pa.array(rows)) for name in self.plan.output]
@@ -316,7 +338,8 @@ class Kernel:
         # partitions lie one after another with a separator between
         joined = np.insert(symbol, starts[1:], len(self.plan.labels) + 1)
         try:
-            spans = self.automaton.matches(joined.tobytes())
+            found = self.automaton.matches if self.plan.clause.skip[0] == "PAST" else self.automaton.overlapping
+            spans = found(joined.tobytes())
         except PatternLimitError:
             return None
         a = np.array([s for s, _ in spans], dtype=np.int64)

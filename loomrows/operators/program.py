@@ -117,6 +117,8 @@ class Automaton:
         self.none = len(label)
         self.width = self.none + 2
         self.code = Program(pattern, label).code
+        if any(op not in (ROW, SPLIT, JUMP, MATCH) for op, *_ in self.code):
+            raise PatternLimitError("loops around what may be empty need the search")
         self.back_code = Program(reversed_pattern(pattern), label).code
         self.f_index, self.f_states, self.f_next, self.f_accept, self.f_dead = {}, [], [], [], []
         self.b_index, self.b_states, self.b_next, self.b_accept, self.b_dead = {}, [], [], [], []
@@ -195,6 +197,31 @@ class Automaton:
         self.b_next[state][symbol] = nxt
         return nxt
 
+    def overlapping(self, symbols: bytes) -> list[tuple[int, int]]:
+        """(start, end) of the match at each start that has one. Searches that
+        come to one state at one place go on alike, so each place is left once
+        in a state, however long the matches are."""
+        out, ahead = [], {}
+        step, accept, dead = self.f_next, self.f_accept, self.f_dead
+        start, n = self._f_state(tuple(self._closure(self.code, [0])), True), len(symbols)
+        for at in range(n):
+            state, pos, path = start, at, []
+            while pos < n and not dead[state] and (pos, state) not in ahead:
+                path.append((pos, state))
+                nxt = step[state][symbols[pos]]
+                state = nxt if nxt >= 0 else self.f_step(state, symbols[pos])
+                pos += 1
+            end = ahead.get((pos, state), -1)
+            after = state
+            for place in reversed(path):
+                if end < 0 and accept[after]:
+                    end = place[0] + 1
+                ahead[place] = end
+                after = place[1]
+            if end >= 0:
+                out.append((at, end))
+        return out
+
     def matches(self, symbols: bytes) -> list[tuple[int, int]]:
         """(start, end) of all matches, each search after the last match."""
         out, at, n = [], 0, len(symbols)

@@ -177,3 +177,6 @@ class Query:
     sources: list[Source]
     order_by: list[SortKey] = field(default_factory=list)
     windows: dict[str, Clause] = field(default_factory=dict)
+    where: Expr | None = None
+    distinct: bool = False
+    limit: int | None = None

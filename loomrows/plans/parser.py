@@ -22,6 +22,7 @@ _TOKEN = re.compile(
     re.X | re.S,
 )
 
+_BITS = (("|",), ("^",), ("&",), ("<<", ">>"))
 NAVIGATION = {"FIRST", "LAST", "PREV", "NEXT"}
 _NOT_ALIAS = {"FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "WINDOW", "MATCH_RECOGNIZE", "ON", "JOIN", "UNION", "INTERSECT", "EXCEPT", "AS"}
 
@@ -109,8 +110,7 @@ class Parser:
 
     def query(self) -> Query:
         self.expect("SELECT")
-        if self.is_word("DISTINCT"):
-            raise QueryError("SELECT DISTINCT isn't part of this query form; apply distinct() to the result")
+        distinct = self.accept("DISTINCT")
         items = [self._item()]
         while self.accept_sign(","):
             items.append(self._item())
@@ -128,11 +128,15 @@ class Parser:
                 self.expect_sign(")")
                 if not self.accept_sign(","):
                     break
+        where = self.expr() if self.accept("WHERE") else None
         order = self._sort_keys() if self.accept("ORDER", "BY") else []
+        limit = None
+        if self.accept("LIMIT") and (limit := self._number()) is None:
+            self.fail("a number of rows")
         self.accept_sign(";")
         if self.token.kind != "end":
             raise QueryError(f"unsupported after the row pattern clause: {self.sql[self.token.start :][:40]!r}; compose it with DataFrame operations instead")
-        return Query(items, sources, order, windows)
+        return Query(items, sources, order, windows, where, distinct, limit)
 
     def _item(self) -> tuple[Expr, str | None]:
         if self.accept_sign("*"):
@@ -449,7 +453,16 @@ class Parser:
         self.expect_sign(")")
         return items
 
-    def _sum(self) -> Expr:
+    def _sum(self, level: int = 0) -> Expr:
+        """Sums, and above them the operators on bits by their precedence."""
+        if level == len(_BITS):
+            return self._added()
+        e = self._sum(level + 1)
+        while sign := next((x for x in _BITS[level] if self.accept_sign(x)), None):
+            e = Op(sign, (e, self._sum(level + 1)))
+        return e
+
+    def _added(self) -> Expr:
         e = self._product()
         while True:
             for sign in ("+", "-", "||"):
@@ -539,6 +552,15 @@ class Parser:
                     raise QueryError("subqueries with FROM aren't supported in row pattern expressions")
                 self.expect_sign(")")
                 return Lit(True)
+            if word == "EXTRACT" and self.is_sign("(", 1):
+                self.at += 2
+                part = self.name("a part of a date").upper()
+                if part not in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND"):
+                    raise QueryError(f"EXTRACT doesn't know {part}")
+                self.expect("FROM")
+                e = self.expr()
+                self.expect_sign(")")
+                return Call(part, (e,))
             if self.is_sign("(", 1):
                 return self._call()
             if word in ("CURRENT_DATE", "CURRENT_TIME", "CURRENT_TIMESTAMP"):

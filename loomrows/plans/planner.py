@@ -103,8 +103,11 @@ class Planner:
             if name.lower() in seen:
                 raise QueryError(f"two measures are called {name}")
             seen.add(name.lower())
+        kind = lambda n: (f := fold(n, self.columns)) and self.df.schema[f].dataType
         for e in [m for m, _ in c.measures] + list(self.define.values()):
             for x in e.walk():
+                if isinstance(x, Op) and x.name == "LIKE" and not all(isinstance(type_of(a, kind), (T.StringType, T.NullType)) for a in x.args):
+                    raise QueryError("LIKE takes text on both sides; CAST what isn't")
                 if is_aggregate(x) and any(is_aggregate(y) for a in x.args for y in a.walk()):
                     raise QueryError(f"an aggregate inside {x.name}")
                 if isinstance(x, Col) and x.var is not None:
@@ -130,7 +133,7 @@ class Planner:
     def build(self, output: list[str]) -> DataFrame:
         """The columns ``output`` of the input, then all measures."""
         c = self.clause
-        one = c.rows == "ONE"
+        one = c.rows != "ALL"
         explicit = any(isinstance(x, Call) and x.semantics for e, _ in c.measures for x in e.walk())
         measures = []
         for e, name in c.measures:

@@ -46,6 +46,8 @@ def type_of(e: Expr, column) -> T.DataType:
     if isinstance(e, Op):
         if e.name in ("+", "-", "*", "%", "//", "**"):
             return _whole(wider(sub(e.args[0]), sub(e.args[1])))
+        if e.name in ("&", "|", "^", "<<", ">>"):
+            return T.LongType()
         if e.name == "/":
             kind = wider(sub(e.args[0]), sub(e.args[1]))
             return kind if isinstance(kind, T.DecimalType) else T.DoubleType()
