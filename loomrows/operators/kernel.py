@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 
 from ..plans.ast import Anchor, Clause, Exclude, Expr
 from .frame import Compiler, Frame, Scope
-from .program import CHECK, END, IN, JUMP, MARK, MATCH, OUT, ROW, SPLIT, START, Automaton, PatternLimitError, Program, has, nullable
+from .program import CHECK, END, IN, JUMP, MARK, MATCH, OUT, ROW, SPLIT, START, Automaton, PatternLimitError, Program, has, marked_matches, nullable, regex_of
 
 #: Steps of one stateful search, and failed states that are kept.
 MAX_STEPS, MAX_FAILED = 20_000_000, 4_000_000
@@ -169,6 +169,7 @@ class Kernel:
         if not plan.stateful and c.skip[0] in ("PAST", "NEXT") and not has(c.pattern, Anchor) and not has(c.pattern, Exclude) and not nullable(c.pattern) and len(plan.labels) < 60 and set(plan.masked) == set(plan.labels.values()):
             try:
                 self.automaton = Automaton(c.pattern, plan.labels)
+                self.regex = regex_of(c.pattern, plan.labels)
             except PatternLimitError:
                 self.automaton = None
         self.skip_set = self.scope.variable(c.skip[1]) if c.skip[1] else None
@@ -338,12 +339,13 @@ class Kernel:
         # partitions lie one after another with a separator between
         joined = np.insert(symbol, starts[1:], len(self.plan.labels) + 1)
         try:
-            found = self.automaton.matches if self.plan.clause.skip[0] == "PAST" else self.automaton.overlapping
-            spans = found(joined.tobytes())
+            spans = marked_matches(self.regex, joined) if self.plan.clause.skip[0] == "PAST" else None
+            if spans is None:
+                found = self.automaton.matches if self.plan.clause.skip[0] == "PAST" else self.automaton.overlapping
+                spans = np.array(found(joined.tobytes()), np.int64).reshape(-1, 2).T
         except PatternLimitError:
             return None
-        a = np.array([s for s, _ in spans], dtype=np.int64)
-        b = np.array([e for _, e in spans], dtype=np.int64)
+        a, b = spans
         shifted = starts + np.arange(len(starts))
         group = np.searchsorted(shifted, a, side="right") - 1
         a, b = a - group, b - group

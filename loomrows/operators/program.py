@@ -3,11 +3,17 @@ deterministic automaton for patterns whose rows carry one label at most."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from ..plans.ast import Alt, Anchor, Empty, Exclude, Pattern, QueryError, Repeat, Seq, Var
 
 ROW, SPLIT, JUMP, START, END, OUT, IN, MARK, CHECK, MATCH = range(10)
 #: Instructions of a program, and states of an automaton.
 MAX_PROGRAM, MAX_STATES = 50_000, 5_000
+#: Rows that the native matcher takes at once.
+MAX_TEXT = 1 << 29
 
 
 class PatternLimitError(QueryError):
@@ -251,6 +257,42 @@ class Automaton:
         return out
 
 
+#: The character of label 0, and the marks around a match.
+BASE, BEGIN, CLOSE = 48, b"\x01", b"\x02"
+
+
+def regex_of(p: Pattern, label: dict[str, int]) -> str:
+    """A pattern over labels as a regular expression over their characters,
+    with the same preferences among matches."""
+    if isinstance(p, Var):
+        return f"\\x{{{BASE + label[p.name]:x}}}"
+    if isinstance(p, Seq):
+        return "".join(regex_of(i, label) for i in p.items)
+    if isinstance(p, Alt):
+        return "(?:" + "|".join(regex_of(i, label) for i in p.items) + ")"
+    if isinstance(p, Repeat):
+        bounds = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((p.least, p.most), f"{{{p.least},{'' if p.most is None else p.most}}}")
+        return f"(?:{regex_of(p.item, label)}){bounds}{'' if p.greedy else '?'}"
+    return "(?:)"
+
+
+def marked_matches(regex: str, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Starts and ends of all matches of a regular expression that matches no
+    empty text, each search after the last match, in linear time by a native
+    engine that puts marks around them; None if it can't."""
+    if len(symbols) > MAX_TEXT:
+        return None
+    text = pa.array([(symbols + np.uint8(BASE)).tobytes()], pa.binary()).cast(pa.string())
+    try:
+        done = pc.replace_substring_regex(text, pattern=regex, replacement="\x01\\0\x02")
+    except pa.ArrowInvalid:
+        return None
+    out = np.frombuffer(done[0].as_buffer(), np.uint8)
+    a, b = np.flatnonzero(out == BEGIN[0]), np.flatnonzero(out == CLOSE[0])
+    # before a mark stand the two of each match before it, and its match's first
+    return a - 2 * np.arange(len(a)), b - 2 * np.arange(len(b)) - 1
+
+
 def reversed_pattern(p: Pattern) -> Pattern:
     if isinstance(p, Seq):
         return Seq(tuple(reversed_pattern(i) for i in reversed(p.items)))
