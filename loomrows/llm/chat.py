@@ -18,7 +18,8 @@ Rows of a conversation are ordered by turn, then role, then text (a tie is
 broken by content, so reruns agree). Null texts and roles are empty, a null
 conv_id is a conversation of its own, repeated rows are repeated turns; other
 columns are ignored. Rows are dealt by conversation and sorted; a conversation
-streams through its task batch by batch, so that its length isn't held.
+streams through its task batch by batch, so that its length isn't held. One
+conversation is one task: turns of one are never split among several.
 """
 
 from __future__ import annotations

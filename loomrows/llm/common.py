@@ -46,7 +46,8 @@ _written: dict[str, SparkSession] = {}
 class Kept:
     """A frame written to the shared folder and read again, which cuts lineage
     and survives lost executors. ``drop`` deletes it as soon as nothing reads
-    it; tables that a returned frame reads go when the interpreter ends. With
+    it; tables that a returned frame reads go by ``clear`` or when the interpreter
+    ends. With
     ``by``, a column, a reader of one of its values reads only those rows."""
 
     def __init__(self, df: DataFrame, by: str | None = None):
@@ -63,6 +64,14 @@ class Kept:
             _delete(spark, self.path)
 
 
+def clear() -> None:
+    """Deletes all tables that are still kept. For long sessions, when no frame
+    that an operator has returned is needed any more."""
+    for path, spark in list(_written.items()):
+        _written.pop(path, None)
+        _delete(spark, path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -81,7 +81,7 @@ def test_bpe_of_any_text(texts):
 def test_secrets_on_fresh_findings():
     forest = secret_scan.default_forest()
     fresh = secret_scan.labelled_findings(400, seed=1234)
-    score = forest.score(np.array([secret_scan.vector(*f[:4]) for f in fresh]))
+    score = forest.score(np.array([secret_scan.vector(*f[:4], f[5], forest.pairs) for f in fresh]))
     assert np.mean((score >= 0.5) == np.array([f[4] for f in fresh])) > 0.98
 
 
