@@ -15,7 +15,7 @@ linked with nothing. Documents are linked when 100 * intersection >= 80 * union.
    that one on, so a bucket gets a row per batch, however many nodes it has.
    The result is a tree of edges (key, node, pivot) for each bucket. A pair at
    exactly 0.8 shares no bucket with probability (1 - 0.8^5)^40 = 1.2e-7, which
-   is the rate at which a link may be missed; above 0.8 it falls fast (1e-11 at
+   is the rate at which a link may be missed; above 0.8 it falls fast (1e-10 at
    0.85).
 4. Each node is checked against the pivot that it shares most buckets with:
    pairs whose signatures agree in too few places (five and a half standard
