@@ -2,7 +2,8 @@
 
 needed columns -> hash exchange on PARTITION BY -> sort within partitions ->
 lag / lead and conditions of the row alone, packed into one mask, in Catalyst ->
-the matching kernel over Arrow batches -> projection.
+the matching kernel over Arrow batches -> projection. Without lag and lead the
+mask is made before the exchange, and columns of conditions alone don't cross it.
 
 One exchange and one sort: the windows of lag and lead use the same keys and
 order. Only columns that expressions or the output need reach the exchange.
@@ -171,6 +172,7 @@ class Planner:
         window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
         bits, stateful, masked = [], {}, []
         cond_columns: set[str] = set()
+        shifted = False
         for k in range(len(self.names)):
             e = self.define.get(k, Lit(True))
             near: Column | None = None
@@ -186,6 +188,7 @@ class Planner:
                     for x in part.walk():
                         if isinstance(x, Col) and (n := fold(x.name, self.columns)):
                             cond_columns.add(n)
+                        shifted |= isinstance(x, Call) and x.name in ("PREV", "NEXT", "LAG", "LEAD")
                     near = col if near is None else near & col
             if rest:
                 whole = rest[0]
@@ -198,20 +201,20 @@ class Planner:
             Compiler(self.scope, True).value(e)
         for e, _, final, own in measures:
             Compiler(self.scope, False, final, own).value(e)
-        needed = dict.fromkeys([*used, *output, *self.partition, *cond_columns])
-        rows = df.select(*(f"`{n}`" for n in needed), "__tie", *(f"__k{i}" for i in range(len(sorts))))
+        mask = F.lit(0).cast("long")
+        for place, b in enumerate(bits):
+            mask = mask.bitwiseOR(F.shiftleft(b.cast("long"), place))
+        needed = dict.fromkeys([*used, *output, *self.partition, *(cond_columns if shifted else ())])
+        rows = df.select(*([] if shifted else [mask.alias("__mask")]), *(f"`{n}`" for n in needed), "__tie", *(f"__k{i}" for i in range(len(sorts))))
         if keys:
             rows = rows.repartition(*keys)
         else:
             warnings.warn("MATCH_RECOGNIZE without PARTITION BY runs in one task", stacklevel=2)
             rows = rows.repartition(1)
         rows = rows.sortWithinPartitions(*keys, *order)
-        mask = F.lit(0).cast("long")
-        for place, b in enumerate(bits):
-            mask = mask.bitwiseOR(F.shiftleft(b.cast("long"), place))
         group = F.xxhash64(*(x for k in keys for x in (k.isNull(), k))) if keys else F.lit(0).cast("long")
         carried = dict.fromkeys([*used, *output])
-        rows = rows.select(group.alias("__group"), mask.alias("__mask"), *(F.col(f"`{n}`").alias(f"c_{n}") for n in carried))
+        rows = rows.select(group.alias("__group"), (mask if shifted else F.col("__mask")).alias("__mask"), *(F.col(f"`{n}`").alias(f"c_{n}") for n in carried))
         schema = T.StructType([T.StructField(n, self.df.schema[n].dataType) for n in output])
         for e, name, *_ in measures:
             kind = type_of(e, lambda n: (f := fold(n, self.columns)) and self.df.schema[f].dataType)
