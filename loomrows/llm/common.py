@@ -46,9 +46,9 @@ _written: dict[str, SparkSession] = {}
 class Kept:
     """A frame written to the shared folder and read again, which cuts lineage
     and survives lost executors. ``drop`` deletes it as soon as nothing reads
-    it; tables that a returned frame reads go by ``clear`` or when the interpreter
-    ends. With
-    ``by``, a column, a reader of one of its values reads only those rows."""
+    it; tables that a returned frame reads go by ``clear`` or when the
+    interpreter ends. With ``by``, a column, a reader of one of its values reads
+    only those rows."""
 
     def __init__(self, df: DataFrame, by: str | None = None):
         spark = df.sparkSession

@@ -26,8 +26,9 @@ quotas stay exact. A shard takes the next blocks of each source's permuted
 list, disjoint from all others, and its rows are shuffled locally by a hash.
 
 Documents without words are never taken. Rows with a null doc_id have whole
-copies like all others and are never drawn for the fraction. Sources meet in
-one window, a short row each: a million of them is a few hundred MB. Rows with one doc_id in a source are drawn together, as one unit. Reruns agree:
+copies like all others and are never drawn for the fraction. Rows with one
+doc_id in a source are drawn together, as one unit. Sources meet in one window,
+a short row each: a million of them is a few hundred MB. Reruns agree:
 everything hangs on hashes of doc_id and ``seed``.
 """
 
