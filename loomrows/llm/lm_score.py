@@ -33,11 +33,11 @@ training texts every probability is that of the smoothing alone.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +53,8 @@ ROUNDS, SHARD, PIECES = 4, 1 << 20, 16
 LEAST_UPDATES = 400
 #: Tokens of a text and texts that are scored at a time, and rows that are read.
 WINDOW, GROUP, SLICE = 32, 512, 2048
+#: Tokens that are counted at a time.
+TALLY = 3 << 20
 #: Words that a worker keeps beside the frequent ones.
 CACHE = 200_000
 END = ""
@@ -61,9 +63,22 @@ REST = 2 * KINDS
 
 
 def words(text: str | None) -> list[bytes]:
+    """The words of one text."""
     return (text or "").encode().lower().split()
 
 
+def words_of_all(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts one after another, and where each text's words begin
+    (with the end of the last)."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # a text without words would give an empty one
+    some = np.asarray(pc.greater(pc.binary_length(trimmed), 0).cast(pa.int8())).astype(bool)
+    lists = pc.ascii_split_whitespace(trimmed.filter(pa.array(some)))
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[some] = np.diff(np.asarray(lists.offsets))
+    return np.concatenate([[0], np.cumsum(sizes)]), lists.flatten()
+
+
 def rest_class(word: bytes) -> int:
     """The class of a word outside the short list, by its form."""
     last = word[-1]
@@ -86,19 +101,21 @@ def token_counts(training: DataFrame) -> DataFrame:
     """(word, cls, c) over all training texts (column text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        parts, size = [], 0
 
         def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
+            found = pa.chunked_array(parts).value_counts()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "c"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words(text.as_py()))
-                if len(counts) > 300_000:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                parts.append(words_of_all(whole.column(0).slice(start, SLICE))[1])
+                size += len(parts[-1])
+                if size >= TALLY:
                     yield sent()
-        if counts:
+                    size = 0
+        if size:
             yield sent()
 
     counts = training.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -168,6 +185,24 @@ def _exp(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray,
     return own, a, a @ np.ones(a.shape[1], a.dtype)
 
 
+def _sums(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of at in order, and the sum of the rows that have each."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    at, rows = at[order], rows[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    size = np.diff(first, append=len(at))
+    out, ones = rows[first], np.ones(len(at), rows.dtype)
+    # long runs one by one, the k-th rows of all others at once
+    for i in np.flatnonzero(size > 16):
+        out[i] = ones[: size[i]] @ rows[first[i] : first[i] + size[i]]
+    k, more = 1, np.flatnonzero((size > 1) & (size <= 16))
+    while len(more):
+        out[more] += rows[first[more] + k]
+        k += 1
+        more = more[size[more] > k]
+    return at[first], out
+
+
 class Network:
     """Parameters by name, views of one flat array. Inputs are short-list words,
     or a rest class."""
@@ -215,24 +250,25 @@ class Network:
 
     def step(self, h: np.ndarray, x: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
         """One step from states h and input rows x of E: the new states, both
-        gates, the candidate and its part of h @ U. ``into``: where they go."""
+        gates side by side, the candidate and its part of h @ U. ``into``: where
+        they go."""
         k = HIDDEN
         u = h @ self.p["U"]
-        new, z, r, n, un = into or tuple(np.empty(h.shape, u.dtype) for _ in range(5))
-        for gate, at in ((z, 0), (r, k)):
-            np.add(x[:, at : at + k], u[:, at : at + k], out=gate)
-            np.negative(gate, out=gate)
-            np.exp(gate, out=gate)
-            gate += 1
-            np.reciprocal(gate, out=gate)
-        un[:] = u[:, 2 * k :]
-        np.multiply(r, un, out=n)
+        new, gates, n, un = into or (np.empty(h.shape, u.dtype), np.empty((len(h), 2 * k), u.dtype), np.empty(h.shape, u.dtype), u[:, 2 * k :])
+        np.add(x[:, : 2 * k], u[:, : 2 * k], out=gates)
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        if into:
+            un[:] = u[:, 2 * k :]
+        np.multiply(gates[:, k:], un, out=n)
         n += x[:, 2 * k :]
         np.tanh(n, out=n)
         np.subtract(h, n, out=new)
-        new *= z
+        new *= gates[:, :k]
         new += n
-        return new, z, r, n, un
+        return new, gates, n, un
 
     def outputs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p of the classes and, inside the short list, of the words; with
@@ -242,16 +278,15 @@ class Network:
         key = (cls.astype(np.int32) << 16) + np.where(cls < CLASSES, word, 0)
         order = np.argsort(key)
         hs, cs, ws = h[order], cls[order], word[order]
-        every = np.arange(n)
+        every, ones = np.arange(n), np.ones(n, h.dtype)
         own, a, s = _exp(hs, p["C"], p["c"], every, cs)
         logp = own - np.log(s)
         dh = None
         if grads is not None:
-            a /= s[:, None]
-            a[every, cs] -= 1
-            a /= n
+            a *= (1 / (n * s))[:, None]
+            a[every, cs] -= 1 / n
             grads["C"] += hs.T @ a
-            grads["c"] += a.sum(0)
+            grads["c"] += ones @ a
             dh = a @ p["C"].T
         cuts = np.searchsorted(cs, np.arange(CLASSES + 1))
         for k in range(CLASSES):
@@ -262,11 +297,10 @@ class Network:
                 own, a, s = _exp(hk, p["W"][first:last].T, p["w"][first:last], mine, at)
                 logp[low:high] += own - np.log(s)
                 if grads is not None:
-                    a /= s[:, None]
-                    a[mine, at] -= 1
-                    a /= n
+                    a *= (1 / (n * s))[:, None]
+                    a[mine, at] -= 1 / n
                     grads["W"][first:last] += a.T @ hk
-                    grads["w"][first:last] += a.sum(0)
+                    grads["w"][first:last] += ones[low:high] @ a
                     dh[low:high] += a @ p["W"][first:last]
         back = np.empty_like(order)
         back[order] = every
@@ -299,10 +333,11 @@ class Network:
                 steps = len(x)
                 rows = (p["E"] + p["b"])[x]
                 # states[j] is the state before step j
-                states, tape = np.empty((steps + 1, lanes, k), np.float32), np.empty((4, steps, lanes, k), np.float32)
+                states, tape = np.empty((steps + 1, lanes, k), np.float32), np.empty((2, steps, lanes, k), np.float32)
+                gates = np.empty((steps, lanes, 2 * k), np.float32)
                 states[0] = h
                 for j in range(steps):
-                    self.step(states[j], rows[j], (states[j + 1], *tape[:, j]))
+                    self.step(states[j], rows[j], (states[j + 1], gates[j], *tape[:, j]))
                 h = states[steps].copy()
                 flat = states[1:].reshape(-1, k)
                 real = y >= 0
@@ -312,35 +347,32 @@ class Network:
                     dflat = np.zeros_like(flat)
                     if real.any():
                         dflat[real] = self.outputs(flat[real], yc[real], y[real], g)[1]
-                (z, r, n, un), prev = tape, states[:-1]
+                (n, un), z, r, prev = tape, gates[:, :, :k], gates[:, :, k:], states[:-1]
                 # what the gradient of a state is multiplied by, for all steps
-                # at once: for both gates, the candidate's part of h @ U, the candidate
-                by = np.empty((steps, lanes, 4, k), np.float32)
+                # at once: for both gates and the candidate's part of h @ U, and
+                # for the candidate
+                by, by_n = np.empty((steps, lanes, 3, k), np.float32), n * n
                 off = 1 - z
-                by_n = n * n
                 np.subtract(1, by_n, out=by_n)
                 by_n *= off
-                by[:, :, 3] = by_n
-                np.multiply(by_n, r, out=by[:, :, 2])
-                by_n *= un
-                by_n *= r
-                np.multiply(by_n, 1 - r, out=by[:, :, 1])
                 off *= z
                 np.multiply(off, prev - n, out=by[:, :, 0])
-                dh = np.zeros_like(h)
+                np.multiply(by_n, r, out=by[:, :, 2])
+                un *= by[:, :, 2]
+                np.multiply(un, 1 - r, out=by[:, :, 1])
+                dh, back = np.zeros_like(h), p["U"].T.copy()
                 for j in range(steps - 1, -1, -1):
                     dh += dflat[j * lanes : (j + 1) * lanes]
                     by[j] *= dh[:, None]
+                    by_n[j] *= dh
                     dh *= z[j]
-                    dh += by[j].reshape(lanes, 4 * k)[:, : 3 * k] @ p["U"].T
-                by = by.reshape(-1, 4 * k)
-                g["U"] += prev.reshape(-1, k).T @ by[:, : 3 * k]
-                by[:, 2 * k : 3 * k] = by[:, 3 * k :]
-                dx, at = by[:, : 3 * k], x.ravel()
-                order = np.argsort(at.astype(np.int16), kind="stable")
-                first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                g["E"][at[order[first]]] = np.add.reduceat(dx[order], first)
-                g["b"] += dx.sum(0)
+                    dh += by[j].reshape(lanes, 3 * k) @ back
+                dx = by.reshape(-1, 3 * k)
+                g["U"] += prev.reshape(-1, k).T @ dx
+                by[:, :, 2] = by_n
+                at, dx_of = _sums(dx, x.ravel())
+                g["E"][at] = dx_of
+                g["b"] += dx_of.sum(0)
                 norm = float(np.sqrt(np.vdot(grad, grad)))
                 t += 1
                 done = start + (stop - start) * t / updates
@@ -441,22 +473,23 @@ def coded_texts(docs: DataFrame, vocabulary: Vocabulary, top: list[tuple[str, in
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
-                ids, rows, tail, kinds, far = [], [], [], [], []
-                for t in batch.column(3):
-                    own = words(t.as_py())
-                    places = look.code(own)
-                    rare = np.flatnonzero(places >= look.known)
-                    tail += [own[j] for j in rare]
-                    kinds.append(places[rare] - look.known)
-                    far.append(len(rare))
-                    ids.append(look.input[places].tobytes())
-                    rows.append((len(own) + 1, len(own) - len(rare) + int(n_docs > 0), end_base + float(look.base[places].sum()), float(look.inside[places].sum())))
-                none, size = len(tail), batch.num_rows
-                head = [*batch.columns[:3], *(pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(4)), pa.array(ids, pa.binary()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())]
-                yield pa.RecordBatch.from_arrays(head, names)
-                if none:
-                    rest = [pa.array(np.repeat(np.asarray(batch.column(0)), far)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.bool_()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.float64()), pa.nulls(none, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(tail, pa.binary()).cast(pa.string()), pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.ones(none, np.int64))], names)
+                size = batch.num_rows
+                starts, found = words_of_all(batch.column(3))
+                # each distinct word is looked up once
+                found = found.dictionary_encode()
+                places = look.code(found.dictionary.cast(pa.binary()).to_pylist())[np.asarray(found.indices)]
+                text_of = np.repeat(np.arange(size), np.diff(starts))
+                rare = np.flatnonzero(places >= look.known)
+                far = np.bincount(text_of[rare], minlength=size)
+                n_words = np.diff(starts)
+                base, inside = (np.bincount(text_of, of[places], size) for of in (look.base, look.inside))
+                ids = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(look.input[places])])
+                parts = [pa.array(n_words + 1), pa.array(n_words - far + int(n_docs > 0)), pa.array(base + end_base), pa.array(inside), ids]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts, pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names)
+                if none := len(rare):
+                    word = found.take(pa.array(rare)).dictionary_decode().cast(pa.string())
+                    gone = [pa.nulls(none, x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), far)), *gone, word, pa.array((places[rare] - look.known).astype(np.int32)), pa.array(np.ones(none, np.int64))], names)
 
     names = [c.split()[0] for c in CODED.split(", ")]
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(run, CODED)

@@ -96,3 +96,20 @@ def test_forms_agree_in_python_and_spark(spark):
     found = [w for w in ["a", "b1", "ñ", "x.", "y,", "z!", "é9", "日本。", "1", "-", "ü."]]
     got = spark.createDataFrame([(w,) for w in found], "word string").select("word", lm_score.rest_class_of(F.col("word")).alias("k")).collect()
     assert {r.word: r.k for r in got} == {w: lm_score.rest_class(w.encode()) for w in found}
+
+
+def test_words_of_all_texts_are_the_words_of_each():
+    r = random.Random(2)
+    texts = [None, "", " ", "\t\n\x0b\x0c\r", "ÄB c D", " a\x1cb C "] + ["".join(r.choice("aB .é\t\n\x0b\x0c\r\x1f　😀") for _ in range(r.randrange(40))) for _ in range(400)]
+    for column in (lm_score.pa.array(texts), lm_score.pa.array(texts).slice(3, 50), lm_score.pa.array([None, " "], lm_score.pa.string())):
+        starts, found = lm_score.words_of_all(column)
+        found = found.cast(lm_score.pa.binary()).to_pylist()
+        assert [found[a:b] for a, b in zip(starts, starts[1:])] == [lm_score.words(t) for t in column.to_pylist()]
+
+
+def test_rows_of_one_value_are_added_up():
+    r = np.random.default_rng(4)
+    at, rows = r.permutation(np.concatenate([np.zeros(100, int), np.full(17, 5), np.full(16, 6), r.integers(7, 60, 120)])), r.standard_normal((253, 6))
+    values, sums = lm_score._sums(rows, at)
+    assert values.tolist() == sorted(set(at.tolist()))
+    assert np.allclose(sums, [rows[at == x].sum(0) for x in values])
