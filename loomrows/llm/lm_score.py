@@ -51,7 +51,8 @@ LANES, STEPS, RATE = 512, 16, 0.006
 ROUNDS, SHARD, PIECES = 4, 1 << 20, 16
 #: Steps of gradient descent; a small corpus is gone through more often.
 LEAST_UPDATES = 400
-#: Tokens of a text and texts that are scored at a time, and rows that are read.
+#: Tokens of a text and texts that are scored at a time, and rows whose words
+#: are split at a time.
 WINDOW, GROUP, SLICE = 32, 512, 2048
 #: Tokens that are counted at a time.
 TALLY = 3 << 20
@@ -248,27 +249,32 @@ class Network:
         self.__dict__ |= state
         self.p = self.views(self.row)
 
+    def table(self) -> np.ndarray:
+        """The inputs' rows of E with the bias, by gate: each step reads whole rows."""
+        return np.ascontiguousarray((self.p["E"] + self.p["b"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
     def step(self, h: np.ndarray, x: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-        """One step from states h and input rows x of E: the new states, both
-        gates side by side, the candidate and its part of h @ U. ``into``: where
-        they go."""
-        k = HIDDEN
-        u = h @ self.p["U"]
-        new, gates, n, un = into or (np.empty(h.shape, u.dtype), np.empty((len(h), 2 * k), u.dtype), np.empty(h.shape, u.dtype), u[:, 2 * k :])
-        np.add(x[:, : 2 * k], u[:, : 2 * k], out=gates)
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        if into:
-            un[:] = u[:, 2 * k :]
-        np.multiply(gates[:, k:], un, out=n)
-        n += x[:, 2 * k :]
+        """One step from states h and input rows x of E (or of table, gates
+        first): the new states, both gates, the candidate and its part of h @ U.
+        ``into``: where they go."""
+        k, u = HIDDEN, self.p["U"]
+        x = x if x.ndim == 3 else x.reshape(len(x), 3, k).transpose(1, 0, 2)
+        new, z, r, n, un = into or tuple(np.empty(h.shape, np.result_type(h, u)) for _ in range(5))
+        for gate, at in ((z, 0), (r, 1)):
+            np.matmul(h, u[:, at * k : (at + 1) * k], out=gate)
+            gate += x[at]
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+        np.matmul(h, u[:, 2 * k :], out=un)
+        np.multiply(r, un, out=n)
+        n += x[2]
         np.tanh(n, out=n)
         np.subtract(h, n, out=new)
-        new *= gates[:, :k]
+        new *= z
         new += n
-        return new, gates, n, un
+        return new, z, r, n, un
 
     def outputs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p of the classes and, inside the short list, of the words; with
@@ -331,13 +337,12 @@ class Network:
                 y, yc = y_all[begin : begin + STEPS].ravel(), c_all[begin : begin + STEPS].ravel()
                 grad[:] = 0
                 steps = len(x)
-                rows = (p["E"] + p["b"])[x]
+                rows = self.table().take(x, axis=1)
                 # states[j] is the state before step j
-                states, tape = np.empty((steps + 1, lanes, k), np.float32), np.empty((2, steps, lanes, k), np.float32)
-                gates = np.empty((steps, lanes, 2 * k), np.float32)
+                states, tape = np.empty((steps + 1, lanes, k), np.float32), np.empty((4, steps, lanes, k), np.float32)
                 states[0] = h
                 for j in range(steps):
-                    self.step(states[j], rows[j], (states[j + 1], gates[j], *tape[:, j]))
+                    self.step(states[j], rows[:, j], (states[j + 1], *tape[:, j]))
                 h = states[steps].copy()
                 flat = states[1:].reshape(-1, k)
                 real = y >= 0
@@ -347,7 +352,7 @@ class Network:
                     dflat = np.zeros_like(flat)
                     if real.any():
                         dflat[real] = self.outputs(flat[real], yc[real], y[real], g)[1]
-                (n, un), z, r, prev = tape, gates[:, :, :k], gates[:, :, k:], states[:-1]
+                (z, r, n, un), prev = tape, states[:-1]
                 # what the gradient of a state is multiplied by, for all steps
                 # at once: for both gates and the candidate's part of h @ U, and
                 # for the candidate
@@ -396,7 +401,7 @@ class Network:
         tokens without the end. Texts of like length advance together."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        table = self.p["E"] + self.p["b"]
+        table = self.table()
         for start in range(0, len(order), GROUP):
             group = order[start : start + GROUP]
             sizes = np.array([len(texts[i]) + 1 for i in group])
@@ -412,7 +417,7 @@ class Network:
                 states, ys, rows = [], [], []
                 for j in range(begin, min(begin + WINDOW, sizes[0])):
                     live = int(np.searchsorted(-sizes, -j, side="left"))
-                    h = self.step(h[:live], table[ids[j - begin, :live]])[0]
+                    h = self.step(h[:live], table.take(ids[j - begin, :live], axis=1))[0]
                     states.append(h), ys.append(ids[j - begin + 1, :live]), rows.append(live)
                 last = ids[-1]
                 y = np.concatenate(ys)
@@ -589,11 +594,10 @@ def lm_scores(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = loaded.get(0) or loaded.setdefault(0, pickle.loads(sent.value))
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
-                found = network.score([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(7)], class_of, end) / np.log(10)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found + np.asarray(batch.column(6)))], names)
+        for batch in batches:
+            # all at once, so that the few longest texts of a batch advance together
+            found = network.score([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(7)], class_of, end) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found + np.asarray(batch.column(6)))], names)
 
     names = [c.split()[0] for c in CODED.split(", ")[:7]]
     scored = texts.select(*names, "ids").mapInArrow(run, ", ".join(CODED.split(", ")[:7]))
