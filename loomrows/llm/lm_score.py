@@ -56,8 +56,6 @@ LEAST_UPDATES = 400
 WINDOW, GROUP, SLICE = 32, 512, 2048
 #: Tokens that are counted at a time.
 TALLY = 3 << 20
-#: Words that a worker keeps beside the frequent ones.
-CACHE = 200_000
 END = ""
 KINDS = 5
 REST = 2 * KINDS
@@ -87,6 +85,18 @@ def rest_class(word: bytes) -> int:
     return kind + KINDS * (not word.isascii())
 
 
+def rest_classes(words: pa.Array) -> np.ndarray:
+    """The same for many words at once."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    raw = words.cast(pa.binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[: ends[-1]]
+    last = data[ends[1:] - 1]
+    kind = np.select([(97 <= last) & (last < 123) | (last >= 128), (48 <= last) & (last < 58), last == 46, last == 44], [0, 1, 2, 3], 4)
+    return (kind + KINDS * (np.maximum.reduceat(data, ends[:-1]) >= 128)).astype(np.int32)
+
+
 def rest_class_of(word: Column) -> Column:
     """The same in Spark."""
     last = F.substring(word, -1, 1)
@@ -172,13 +182,12 @@ class Vocabulary:
         return float(np.log10((c - d) / total if c else d * kinds / total))
 
 
-def _exp(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits h @ weights + bias, less what keeps them from overflow, at
-    (rows, at); their exponentials; and the sums of these. States are within
-    -1 and 1, which mostly bounds logits without a look at each."""
+def _exp(h: np.ndarray, weights: np.ndarray, top: float, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits h @ weights, less what keeps them from overflow, at (rows, at);
+    their exponentials; and the sums of these. States are within -1 and 1, so
+    ``top``, the greatest sum of weights, mostly bounds logits without a look
+    at each."""
     a = h @ weights
-    a += bias
-    top = float((np.abs(weights).sum(0) + np.abs(bias)).max())
     if top > 40:
         a -= a.max(1, keepdims=True)
     own = a[rows, at]
@@ -250,67 +259,83 @@ class Network:
         self.p = self.views(self.row)
 
     def table(self) -> np.ndarray:
-        """The inputs' rows of E with the bias, by gate: each step reads whole rows."""
-        return np.ascontiguousarray((self.p["E"] + self.p["b"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+        """The inputs' rows of E with the bias, by gate: each step reads whole
+        rows. Both gates are negated, as their exponentials take them."""
+        out = np.ascontiguousarray((self.p["E"] + self.p["b"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+        np.negative(out[:2], out=out[:2])
+        return out
 
-    def step(self, h: np.ndarray, x: np.ndarray, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-        """One step from states h and input rows x of E (or of table, gates
-        first): the new states, both gates, the candidate and its part of h @ U.
+    def gates(self) -> np.ndarray:
+        """U in the same form."""
+        out = self.p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2).copy()
+        np.negative(out[:2], out=out[:2])
+        return out
+
+    def step(self, h: np.ndarray, x: np.ndarray, u: np.ndarray | None = None, into: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """One step from states h and input rows x of E (or of table, with u of
+        gates): the new states, both gates, the candidate and its part of h @ U.
         ``into``: where they go."""
-        k, u = HIDDEN, self.p["U"]
-        x = x if x.ndim == 3 else x.reshape(len(x), 3, k).transpose(1, 0, 2)
-        new, z, r, n, un = into or tuple(np.empty(h.shape, np.result_type(h, u)) for _ in range(5))
-        for gate, at in ((z, 0), (r, 1)):
-            np.matmul(h, u[:, at * k : (at + 1) * k], out=gate)
-            gate += x[at]
-            np.negative(gate, out=gate)
-            np.exp(gate, out=gate)
-            gate += 1
-            np.reciprocal(gate, out=gate)
-        np.matmul(h, u[:, 2 * k :], out=un)
-        np.multiply(r, un, out=n)
+        if u is None:
+            u, x = self.gates(), x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2) * np.array([-1, -1, 1], x.dtype)[:, None, None]
+        new, zr, n, un = into or (np.empty(shape, np.result_type(h, u)) for shape in (h.shape, (2, *h.shape), h.shape, h.shape))
+        np.matmul(h, u[:2], out=zr)
+        zr += x[:2]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.matmul(h, u[2], out=un)
+        np.multiply(zr[1], un, out=n)
         n += x[2]
         np.tanh(n, out=n)
         np.subtract(h, n, out=new)
-        new *= z
+        new *= zr[0]
         new += n
-        return new, z, r, n, un
+        return new, zr, n, un
 
     def outputs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log p of the classes and, inside the short list, of the words; with
         grads also the gradient for h (of the mean negative log-likelihood)."""
-        p, n = self.p, len(h)
-        # by class and word, so that each class is one slice
-        key = (cls.astype(np.int32) << 16) + np.where(cls < CLASSES, word, 0)
-        order = np.argsort(key)
-        hs, cs, ws = h[order], cls[order], word[order]
-        every, ones = np.arange(n), np.ones(n, h.dtype)
-        own, a, s = _exp(hs, p["C"], p["c"], every, cs)
+        p, n, k = self.p, len(h), HIDDEN
+        # by class, so that each is one slice
+        order = np.argsort(cls.astype(np.int8), kind="stable")
+        cs, ws = cls[order], word[order]
+        # a last state of 1 takes the biases with the weights
+        hs = np.empty((n, k + 1), h.dtype)
+        h.take(order, axis=0, out=hs[:, :k])
+        hs[:, k] = 1
+        outer, inner = np.vstack([p["C"], p["c"]]), np.column_stack([p["W"], p["w"]])
+        tops = np.abs(inner).sum(1)
+        every = np.arange(n)
+        own, a, s = _exp(hs, outer, float(np.abs(outer).sum(0).max()), every, cs)
         logp = own - np.log(s)
         dh = None
         if grads is not None:
             a *= (1 / (n * s))[:, None]
             a[every, cs] -= 1 / n
-            grads["C"] += hs.T @ a
-            grads["c"] += ones @ a
+            found, inside = hs.T @ a, np.zeros_like(inner)
+            grads["C"] += found[:k]
+            grads["c"] += found[k]
             dh = a @ p["C"].T
         cuts = np.searchsorted(cs, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            low, high, first, last = cuts[k], cuts[k + 1], self.cuts[k], self.cuts[k + 1]
+        for i in range(CLASSES):
+            low, high, first, last = cuts[i], cuts[i + 1], self.cuts[i], self.cuts[i + 1]
             if high > low and last - first > 1:
                 hk, at = hs[low:high], ws[low:high] - first
                 mine = every[: high - low]
-                own, a, s = _exp(hk, p["W"][first:last].T, p["w"][first:last], mine, at)
+                own, a, s = _exp(hk, inner[first:last].T, float(tops[first:last].max()), mine, at)
                 logp[low:high] += own - np.log(s)
                 if grads is not None:
                     a *= (1 / (n * s))[:, None]
                     a[mine, at] -= 1 / n
-                    grads["W"][first:last] += a.T @ hk
-                    grads["w"][first:last] += ones[low:high] @ a
+                    np.matmul(a.T, hk, out=inside[first:last])
                     dh[low:high] += a @ p["W"][first:last]
         back = np.empty_like(order)
         back[order] = every
-        return logp[back], None if dh is None else dh[back]
+        if grads is None:
+            return logp[back], None
+        grads["W"] += inside[:, :k]
+        grads["w"] += inside[:, k]
+        return logp[back], dh[back]
 
     def train(self, tokens: np.ndarray, cls: np.ndarray, end: int, start: float = 0.0, stop: float = 1.0) -> None:
         """Truncated backpropagation over the tokens of texts one after another,
@@ -330,6 +355,11 @@ class Network:
         each = -(-length // STEPS)
         epochs = max(1, -(-int(LEAST_UPDATES * (stop - start)) // each))
         updates = epochs * each
+        # by step and lane: states (before each step, and after the last), both
+        # gates, the candidate, its part of h @ U, and three of gradients
+        room_of = lambda *shape: np.empty((*shape, lanes, k), np.float32)
+        whole = room_of(STEPS + 1), room_of(2, STEPS), room_of(STEPS), room_of(STEPS), room_of(3, STEPS), room_of(STEPS), room_of(STEPS)
+        through, sent = room_of(3), np.empty((STEPS * lanes, 3, k), np.float32)
         for _ in range(epochs):
             h = np.zeros((lanes, k), np.float32)
             for begin in range(0, length, STEPS):
@@ -337,12 +367,11 @@ class Network:
                 y, yc = y_all[begin : begin + STEPS].ravel(), c_all[begin : begin + STEPS].ravel()
                 grad[:] = 0
                 steps = len(x)
-                rows = self.table().take(x, axis=1)
-                # states[j] is the state before step j
-                states, tape = np.empty((steps + 1, lanes, k), np.float32), np.empty((4, steps, lanes, k), np.float32)
+                rows, u = self.table().take(x, axis=1), self.gates()
+                states, zr, n, un, by, by_n, off = (a[..., : steps + (a is whole[0]), :, :] for a in whole)
                 states[0] = h
                 for j in range(steps):
-                    self.step(states[j], rows[:, j], (states[j + 1], *tape[:, j]))
+                    self.step(states[j], rows[:, j], u, (states[j + 1], zr[:, j], n[j], un[j]))
                 h = states[steps].copy()
                 flat = states[1:].reshape(-1, k)
                 real = y >= 0
@@ -352,30 +381,35 @@ class Network:
                     dflat = np.zeros_like(flat)
                     if real.any():
                         dflat[real] = self.outputs(flat[real], yc[real], y[real], g)[1]
-                (z, r, n, un), prev = tape, states[:-1]
+                (z, r), prev = zr, states[:-1]
                 # what the gradient of a state is multiplied by, for all steps
                 # at once: for both gates and the candidate's part of h @ U, and
                 # for the candidate
-                by, by_n = np.empty((steps, lanes, 3, k), np.float32), n * n
-                off = 1 - z
+                np.subtract(1, z, out=off)
+                np.multiply(n, n, out=by_n)
                 np.subtract(1, by_n, out=by_n)
                 by_n *= off
                 off *= z
-                np.multiply(off, prev - n, out=by[:, :, 0])
-                np.multiply(by_n, r, out=by[:, :, 2])
-                un *= by[:, :, 2]
-                np.multiply(un, 1 - r, out=by[:, :, 1])
-                dh, back = np.zeros_like(h), p["U"].T.copy()
+                np.subtract(prev, n, out=by[0])
+                by[0] *= off
+                np.multiply(by_n, r, out=by[2])
+                np.multiply(un, by[2], out=by[1])
+                np.subtract(1, r, out=off)
+                by[1] *= off
+                dh, back = np.zeros_like(h), p["U"].reshape(k, 3, k).transpose(1, 2, 0).copy()
                 for j in range(steps - 1, -1, -1):
                     dh += dflat[j * lanes : (j + 1) * lanes]
-                    by[j] *= dh[:, None]
+                    by[:, j] *= dh
                     by_n[j] *= dh
                     dh *= z[j]
-                    dh += by[j].reshape(lanes, 3 * k) @ back
-                dx = by.reshape(-1, 3 * k)
-                g["U"] += prev.reshape(-1, k).T @ dx
-                by[:, :, 2] = by_n
-                at, dx_of = _sums(dx, x.ravel())
+                    for part in np.matmul(by[:, j], back, out=through):
+                        dh += part
+                before = prev.reshape(-1, k).T
+                dx = sent[: steps * lanes]
+                for i in range(3):
+                    g["U"][:, i * k : (i + 1) * k] += before @ by[i].reshape(-1, k)
+                    dx[:, i] = (by_n if i == 2 else by[i]).reshape(-1, k)
+                at, dx_of = _sums(dx.reshape(-1, 3 * k), x.ravel())
                 g["E"][at] = dx_of
                 g["b"] += dx_of.sum(0)
                 norm = float(np.sqrt(np.vdot(grad, grad)))
@@ -401,57 +435,55 @@ class Network:
         tokens without the end. Texts of like length advance together."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        table = self.table()
+        table, u, k = self.table(), self.gates(), HIDDEN
+        every, whole = np.arange(WINDOW), np.empty((WINDOW * GROUP, k), np.float32)
+        zr, n, un = np.empty((2, GROUP, k), np.float32), np.empty((GROUP, k), np.float32), np.empty((GROUP, k), np.float32)
         for start in range(0, len(order), GROUP):
             group = order[start : start + GROUP]
             sizes = np.array([len(texts[i]) + 1 for i in group])
-            h, total = np.zeros((len(group), HIDDEN), np.float32), np.zeros(len(group))
+            h, total = np.zeros((len(group), k), np.float32), np.zeros(len(group))
             last = np.full(len(group), end, np.int32)
             for begin in range(0, sizes[0], WINDOW):
                 live = int(np.searchsorted(-sizes, -begin, side="left"))  # texts longer than begin
                 ids = np.full((WINDOW + 1, live), end, np.int32)
                 ids[0] = last[:live]
-                for k in range(live):
-                    part = texts[group[k]][begin : begin + WINDOW]
-                    ids[1 : len(part) + 1, k] = part
-                states, ys, rows = [], [], []
+                parts = [texts[i][begin : begin + WINDOW] for i in group[:live]]
+                ids[1:].T[every < np.fromiter(map(len, parts), np.int64, live)[:, None]] = np.concatenate(parts)
+                ys, rows, upto = [], [], 0
                 for j in range(begin, min(begin + WINDOW, sizes[0])):
                     live = int(np.searchsorted(-sizes, -j, side="left"))
-                    h = self.step(h[:live], table.take(ids[j - begin, :live], axis=1))[0]
-                    states.append(h), ys.append(ids[j - begin + 1, :live]), rows.append(live)
-                last = ids[-1]
+                    into = whole[upto : upto + live], zr[:, :live], n[:live], un[:live]
+                    h = self.step(h[:live], table.take(ids[j - begin, :live], axis=1), u, into)[0]
+                    upto += live
+                    ys.append(ids[j - begin + 1, :live]), rows.append(live)
+                # the next window writes over these states
+                last, h = ids[-1], h.copy()
                 y = np.concatenate(ys)
-                logp, _ = self.outputs(np.concatenate(states), class_of[y], y)
-                total += np.bincount(np.concatenate([np.arange(n) for n in rows]), weights=logp, minlength=len(group))
+                logp, _ = self.outputs(whole[:upto], class_of[y], y)
+                total += np.bincount(np.concatenate([np.arange(size) for size in rows]), weights=logp, minlength=len(group))
             out[group] = total
         return out
 
 
-class Lookup(dict):
+class Lookup:
     """Tokens to places in flat arrays of inputs and of scores that need counts
     alone: those whose counts were broadcast first, then one for each rest class."""
 
     def __init__(self, vocabulary: Vocabulary, top: list[tuple[str, int, int]]):
         v, self.known = vocabulary, len(top)
-        self.first = {w.encode(): i for i, (w, _, _) in enumerate(top)}
-        super().__init__(self.first)
+        self.words = pa.array([w for w, _, _ in top], pa.string())
         short = [v.index.get(w.encode(), -1) for w, _, _ in top]
         self.input = np.array([i if i >= 0 else SHORT + k for i, (_, _, k) in zip(short, top, strict=True)] + [SHORT + k for k in range(REST)], np.uint16)
         self.base = np.array([float(v.base(c)) for _, c, _ in top] + [0.0] * REST)
         self.inside = np.array([0.0 if i >= 0 else v.inside(c, k) for i, (_, c, k) in zip(short, top, strict=True)] + [0.0] * REST)
 
-    def __missing__(self, word: bytes) -> int:
-        place = self.known + rest_class(word)
-        if len(word) <= 64:
-            if len(self) >= self.known + CACHE:
-                self.clear()
-                self.update(self.first)
-            self[word] = place
-        return place
-
-    def code(self, tokens: list[bytes]) -> np.ndarray:
-        """Places of tokens."""
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+    def code(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """Places of tokens; which of them are not broadcast, and these."""
+        places = np.array(pc.index_in(tokens, value_set=self.words.cast(tokens.type)).fill_null(self.known))
+        rare = np.flatnonzero(places == self.known)
+        found = tokens.take(pa.array(rare)).dictionary_encode()
+        places[rare] += rest_classes(found.dictionary)[np.asarray(found.indices)]
+        return places, rare, found
 
 
 def class_table(vocabulary: Vocabulary) -> np.ndarray:
@@ -465,7 +497,7 @@ CODED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, b
 def coded_texts(docs: DataFrame, vocabulary: Vocabulary, top: list[tuple[str, int, int]], n_docs: int) -> DataFrame:
     """A row for each row of docs (doc_id, text, held_out), with its inputs and
     with the parts of the scores that the frequent tokens give; and a row
-    (uid, word, cls, times) for each other token of it."""
+    (uid, word, cls, times) for each other word of it."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, top)))
     loaded: dict[int, tuple] = {}
 
@@ -480,21 +512,21 @@ def coded_texts(docs: DataFrame, vocabulary: Vocabulary, top: list[tuple[str, in
                 batch = whole.slice(start, SLICE)
                 size = batch.num_rows
                 starts, found = words_of_all(batch.column(3))
-                # each distinct word is looked up once
-                found = found.dictionary_encode()
-                places = look.code(found.dictionary.cast(pa.binary()).to_pylist())[np.asarray(found.indices)]
+                places, rare, others = look.code(found)
                 text_of = np.repeat(np.arange(size), np.diff(starts))
-                rare = np.flatnonzero(places >= look.known)
                 far = np.bincount(text_of[rare], minlength=size)
                 n_words = np.diff(starts)
                 base, inside = (np.bincount(text_of, of[places], size) for of in (look.base, look.inside))
                 ids = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(look.input[places])])
                 parts = [pa.array(n_words + 1), pa.array(n_words - far + int(n_docs > 0)), pa.array(base + end_base), pa.array(inside), ids]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts, pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names)
-                if none := len(rare):
-                    word = found.take(pa.array(rare)).dictionary_decode().cast(pa.string())
-                    gone = [pa.nulls(none, x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), far)), *gone, word, pa.array((places[rare] - look.known).astype(np.int32)), pa.array(np.ones(none, np.int64))], names)
+                if len(rare):
+                    # a word that a text repeats is one row
+                    kinds = len(others.dictionary)
+                    pair, times = np.unique(text_of[rare] * kinds + np.asarray(others.indices), return_counts=True)
+                    text, word = pair // kinds, others.dictionary.take(pa.array(pair % kinds))
+                    gone = [pa.nulls(len(pair), x) for x in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *gone, word.cast(pa.string()), pa.array(rest_classes(word)), pa.array(times)], names)
 
     names = [c.split()[0] for c in CODED.split(", ")]
     return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(run, CODED)

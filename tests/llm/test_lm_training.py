@@ -113,3 +113,23 @@ def test_rows_of_one_value_are_added_up():
     values, sums = lm_score._sums(rows, at)
     assert values.tolist() == sorted(set(at.tolist()))
     assert np.allclose(sums, [rows[at == x].sum(0) for x in values])
+
+
+def test_a_rare_word_that_a_text_repeats_is_one_row(spark):
+    v = lm_score.Vocabulary([("a", 9), ("b", 5)], 3, {}, 20, 4)
+    top = [("a", 9, 0), ("b", 5, 0)]
+    rows = [(1, "a x. x. ñ b x."), (2, "x. 7"), (3, None), (4, "A b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).coalesce(1)
+    got = lm_score.coded_texts(docs, v, top, 3).collect()
+    doc_of = {r.uid: r.doc_id for r in got if r.word is None}
+    assert sorted((doc_of[r.uid], r.word, r.cls, r.times) for r in got if r.word is not None) == [(1, "x.", 2, 3), (1, "ñ", lm_score.KINDS, 1), (2, "7", 1, 1), (2, "x.", 2, 1)]
+    ids = {r.doc_id: np.frombuffer(r.ids, np.uint16).tolist() for r in got if r.word is None}
+    a, b, rest = v.index[b"a"], v.index[b"b"], lm_score.SHORT
+    assert ids == {1: [a, rest + 2, rest + 2, rest + lm_score.KINDS, b, rest + 2], 2: [rest + 2, rest + 1], 3: [], 4: [a, b]}
+    assert [(r.n_tokens, r.n_known) for r in sorted((r for r in got if r.word is None), key=lambda r: r.doc_id)] == [(7, 3), (3, 1), (1, 1), (3, 3)]
+
+
+def test_forms_of_many_words_are_those_of_each():
+    found = ["a", "b1", "ñ", "x.", "y,", "z!", "é9", "日本。", "1", "-", "ü.", "\x1c", "{", "A"]
+    for words in (lm_score.pa.array(found), lm_score.pa.array(found).slice(2, 7), lm_score.pa.array(found[:0], lm_score.pa.string())):
+        assert lm_score.rest_classes(words).tolist() == [lm_score.rest_class(w.encode()) for w in words.to_pylist()]
